@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import byte_bpe, collapse, leakage
+from signalbox.llm import byte_bpe, collapse, leakage, quality, vectors
 from signalbox.tables import load
 
 
+def p2_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and verdict of every indexed file."""
+    common = quality.common_by_language(load(spark, d, "common_words"))
+    out = quality.document_quality(load(spark, d, "rag_chunks", "source", "content"), "source", "content", common)
+    return out.withColumnRenamed("document", "source")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The files that are mostly not natural prose."""
+    return p2_stats(spark, d).where("NOT prose").select("source")
+
+
+def _embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = load(spark, d, "rag_chunks", "id", "embedding", "embedding_model", "dimensions")
+    return vectors.prepare(rows, "id", "embedding", "dimensions", ["embedding_model"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of passages in each other's lists of twenty with a cosine of at least 0.95."""
+    reps, members = _embeddings(spark, d)
+    return vectors.expand_pairs(vectors.similar_lists(reps, 20, 0.95), members)
+
+
+def p5_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty most similar vectors of every row whose id is divisible by 50, against all distinct vectors."""
+    reps, members = _embeddings(spark, d)
+    asked = load(spark, d, "rag_chunks", "id").where(F.col("id") % 50 == 0)
+    return vectors.similar_to(reps, members, asked, 20).select("id", "other", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per distinct question with its number of copies."""
     classes, _, singles = collapse.collapse(load(spark, d, "usage_questions", "id", "question"), "id", "question")
@@ -38,6 +68,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_stats": p2_stats,
+    "p5_found": p5_found,
+    "p5_lists": p5_lists,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
     "p8_ids": p8_ids,
