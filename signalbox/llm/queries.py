@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import byte_bpe, collapse, leakage, quality, vectors
+from signalbox.llm import byte_bpe, collapse, leakage, quality, scan_noise, vectors
 from signalbox.tables import load
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    chunks = load(spark, d, "rag_chunks", "id", "source", "page", "chunk_index", "content")
+    rules = load(spark, d, "rulebooks_rules", "id", "book", "body")
+    return scan_noise.passages(chunks, "rag_chunks", "id", "source", "content", ["page", "chunk_index", "content"]).unionAll(
+        scan_noise.passages(rules, "rulebooks_rules", "id", "book", "body", ["id"])
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of scan noise in passages and rules of prose."""
+    return scan_noise.find_noise(_scanned(spark, d), quality.common_by_language(load(spark, d, "common_words")))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Passages and rules of prose as continuous paragraphs."""
+    return scan_noise.repair(_scanned(spark, d), quality.common_by_language(load(spark, d, "common_words")))
+
+
 def p2_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics and verdict of every indexed file."""
     common = quality.common_by_language(load(spark, d, "common_words"))
@@ -68,6 +86,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_stats": p2_stats,
     "p5_found": p5_found,
