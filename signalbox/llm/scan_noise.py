@@ -40,6 +40,8 @@ PAGE_LINE = (
 )
 #: A misread word's correct form is at least so many times as frequent, and occurs at least so often.
 RATIO, LEAST = 10, 5
+#: Bits of the sketch of a word's neighbours, on either side; a multiple of 64.
+CONTEXT = 256
 #: Rows of the table of misread words (some 60 bytes each) that may be broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -113,8 +115,8 @@ def prose_only(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFram
 
 
 def words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(table_name, row_id, lang, word): the words of each passage in lower case, divided words joined, with the
-    language of their sentence ('*' where no common word tells it)."""
+    """(table_name, row_id, lang, t): the words of each sentence of each passage in lower case, divided words joined,
+    with the sentence's language ('*' where no common word tells it)."""
     joined = F.lower(F.regexp_replace("content", HYPHEN, "$1"))
     sentences = F.split(joined, r"(?<=[.!?…])[\"”»“)]*\s+|\n\s*\n")
     said = rows.select("table_name", "row_id", F.explode(sentences).alias("s"))
@@ -123,36 +125,64 @@ def words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     hits = [F.struct(known(ws).alias("n"), F.lit(k).alias("lang")) for k, ws in common.items()]
     best = F.array_max(F.array(*hits)) if hits else F.struct(F.lit(0).alias("n"), F.lit("*").alias("lang"))
     said = said.select("table_name", "row_id", "t", best.alias("best"))
-    said = said.select("table_name", "row_id", F.when(F.col("best.n") > 0, F.col("best.lang")).otherwise("*").alias("lang"), F.explode("t").alias("raw"))
-    word = F.regexp_replace("raw", r"^['’·-]+|['’·-]+$", "")
-    return said.select("table_name", "row_id", "lang", word.alias("word")).where((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}"))
+    lang = F.when(F.col("best.n") > 0, F.col("best.lang")).otherwise("*").alias("lang")
+    trimmed = F.filter(F.transform("t", lambda w: F.regexp_replace(w, r"^['’·-]+|['’·-]+$", "")), lambda w: w != "")
+    return said.select("table_name", "row_id", lang, trimmed.alias("t"))
 
 
-def misread(vocabulary: DataFrame) -> DataFrame:
-    """(lang, word, correct) of misread words, from (lang, word, n)."""
-    overall = vocabulary.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "word", "n")
-    counted = vocabulary.where("lang <> '*'").unionByName(overall)
+def _worth(word: Column) -> Column:
+    """Words that are looked at: three letters or signs, at least one letter."""
+    return (F.length(word) >= 3) & word.rlike(r"\p{L}")
+
+
+def vocabulary(sentences: DataFrame) -> DataFrame:
+    """(lang, word, n, p0.., q0..): each word's count, and sketches of the words that stand before and after it.
+
+    A sketch is a set of CONTEXT hashed neighbours as bits, or-ed together while counting, so that the context of
+    every word in the corpus comes with its count in the same aggregation.
+    """
+    near = lambda i: F.xxhash64(F.get("t", i)).bitwiseAND(F.lit(CONTEXT - 1)).cast("int")
+    located = F.transform("t", lambda w, i: F.struct(w.alias("word"), near(i - 1).alias("p"), near(i + 1).alias("q")))
+    flat = sentences.select("lang", F.explode(located).alias("x")).select("lang", "x.*").where(_worth(F.col("word")))
+    one = F.lit(1).cast("bigint")
+    bit = lambda c, k: F.bit_or(F.when(F.shiftright(c, 6) == k, F.call_function("shiftleft", one, F.col(c).bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("bigint"))).alias(f"{c}{k}")
+    return flat.groupBy("lang", "word").agg(F.count("*").alias("n"), *[bit(c, k) for c in "pq" for k in range(CONTEXT // 64)])
+
+
+def misread(counted: DataFrame) -> DataFrame:
+    """(lang, word, correct) of misread words, from a vocabulary."""
+    bits = [f"{c}{k}" for c in "pq" for k in range(CONTEXT // 64)]
     # A six may stand for b or for é: such a word belongs to two groups.
     spelled = F.when(F.col("word").contains("6"), F.array(skeleton(F.replace("word", F.lit("6"), F.lit("b"))), skeleton(F.replace("word", F.lit("6"), F.lit("e"))))).otherwise(F.array(skeleton(F.col("word"))))
-    grouped = counted.select("lang", "word", "n", F.explode(F.array_distinct(spelled)).alias("skel"))
-    forms = grouped.where((F.col("n") >= LEAST) & F.col("word").rlike(r"^[\p{L}'’-]+$")).select("lang", "skel", F.col("word").alias("correct"), F.col("n").alias("m"))
+    grouped = counted.select("lang", "word", "n", *bits, F.explode(F.array_distinct(spelled)).alias("skel"))
+    forms = grouped.where((F.col("n") >= LEAST) & F.col("word").rlike(r"^[\p{L}'’-]+$"))
+    forms = forms.select("lang", "skel", F.col("word").alias("correct"), F.col("n").alias("m"), *[F.col(b).alias(f"f_{b}") for b in bits])
     pairs = grouped.join(forms, ["lang", "skel"]).where((F.col("m") >= F.col("n") * RATIO) & (F.col("word") != F.col("correct")))
+    # The form is supported if on one side most of the misread word's neighbours are neighbours of the form as well.
+    count = lambda cols: sum((F.bit_count(c) for c in cols), F.lit(0))
+    side = lambda c: count([F.col(f"{c}{k}").bitwiseAND(F.col(f"f_{c}{k}")) for k in range(CONTEXT // 64)]) * 2 > count([F.col(f"{c}{k}") for k in range(CONTEXT // 64)])
+    pairs = pairs.where(side("p") | side("q"))
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             yield pdf[[explained(a, b) for a, b in zip(pdf["correct"], pdf["word"], strict=True)]] if len(pdf) else pdf
 
     checked = pairs.select("lang", "word", "correct", "m").mapInPandas(check, "lang string, word string, correct string, m bigint")
-    return checked.groupBy("lang", "word").agg(F.max_by("correct", F.struct("m", "correct")).alias("correct"))
+    best = checked.groupBy("lang", "word").agg(F.max_by("correct", F.struct("m", "correct")).alias("correct"), F.max("m").alias("m"))
+    # Where no common word tells the language, a word is misread there by itself, or if it is so wherever else it occurs.
+    known = counted.where("lang <> '*'").select("lang", "word").join(best, ["lang", "word"], "left")
+    anywhere = known.groupBy("word").agg(F.max_by("correct", F.struct("m", "correct")).alias("correct"), F.bool_and(F.col("correct").isNotNull()).alias("always"))
+    every = best.select("lang", "word", "correct").unionByName(anywhere.where("always").select(F.lit("*").alias("lang"), "word", "correct"))
+    return every.groupBy("lang", "word").agg(F.min("correct").alias("correct"))
 
 
 def misread_words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     """(table_name, row_id, word, correct): each misread word of each passage, once."""
     said = words(rows, common)
     # One vocabulary for all tables; counted in full.
-    vocabulary = cut(said.groupBy("lang", "word").agg(F.count("*").alias("n")))
-    wrong = cut(misread(vocabulary))
-    found = said.join(bounded_broadcast(wrong, wrong.count(), BROADCAST_ROWS), ["lang", "word"])
+    wrong = cut(misread(cut(vocabulary(said))))
+    flat = said.select("table_name", "row_id", "lang", F.explode("t").alias("word"))
+    found = flat.join(bounded_broadcast(wrong, wrong.count(), BROADCAST_ROWS), ["lang", "word"])
     return found.select("table_name", "row_id", "word", "correct").distinct()
 
 
