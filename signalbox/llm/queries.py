@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalbox.llm import byte_bpe, collapse, leakage, quality, scan_noise, vectors
+from signalbox.llm import byte_bpe, collapse, leakage, quality, scan_noise, sentences, vectors
 from signalbox.tables import load
 
 
@@ -85,7 +85,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of every document."""
+    return sentences.split_sentences(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 QUERIES = {
+    "p10_found": p10_found,
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
