@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 FLAGSHIP = "p6_found"
-_AREAS = ("problems",)
+_AREAS = ("problems", "usage", "texts")
 
 
 def modules() -> list[ModuleType]:
