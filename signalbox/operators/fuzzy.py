@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalbox.functions.text import search_text
 
@@ -27,7 +28,7 @@ def allowed(term: Column) -> Column:
     return F.when(F.length(term) <= 4, 1).when(F.length(term) <= 8, 2).otherwise(3)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-FLAGSHIP = "p6_found"
-_AREAS = ("problems", "usage", "texts")
+FLAGSHIP = "hybrid_retrieve"
+_AREAS = ("problems", "usage", "texts", "search", "library", "dialogue", "streams")
 
 
 def modules() -> list[ModuleType]:

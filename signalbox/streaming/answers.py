@@ -88,14 +88,28 @@ _OUT = "stream_id string, seq bigint, content string"
 
 
 def clean_batch(frames: DataFrame) -> DataFrame:
-    """(stream_id, seq, content) of (stream_id, seq, content): a stream is one answer, bounded by its model."""
+    """(stream_id, seq, content) of (stream_id, seq, content): streams are spread by hash, sorted within their tasks and
+    cleaned as they go by; a stream is one answer, bounded by its model."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = pdf.assign(content=clean_fragments(pdf["content"].tolist()))
-        return out[out["content"] != ""][["stream_id", "seq", "content"]]
-
-    return frames.groupBy("stream_id").applyInPandas(run, _OUT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            open_ = pdf["stream_id"] == pdf["stream_id"].iloc[-1]  # may go on in the next batch
+            rest = pdf[open_]
+            yield _cleaned(pdf[~open_])
+        if rest is not None:
+            yield _cleaned(rest)
+
+    return frames.select("stream_id", "seq", "content").repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, _OUT)
+
+
+def _cleaned(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for _, own in pdf.groupby("stream_id", sort=False):
+        out += clean_fragments(own["content"].tolist())
+    done = pdf.assign(content=pd.Series(out, index=pdf.index, dtype=object))
+    return done[done["content"] != ""]
 
 
 def clean_stream(frames: DataFrame) -> DataFrame:

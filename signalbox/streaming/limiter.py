@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -37,21 +37,29 @@ def _decide(times: list[int], last: list[int], limit: int, period: int) -> tuple
 
 
 def limit_batch(events: DataFrame, key: str, ms: str, limit: int = LIMIT, period: int = PERIOD_MS) -> DataFrame:
-    """(key, ms, ok) of a batch. Keys are decided hour by hour only where that is exact: a key's events are cut where
-    nothing happened for a period, so a hot key is many groups."""
-    from pyspark.sql import Window
+    """(key, ms, ok) of a batch.
 
+    A key's events are cut where nothing happened for a period, which is exact, so a busy key is many parts. Parts are
+    spread by hash, sorted within their tasks and decided as they stream by, remembering at most ``limit`` times.
+    """
     w = Window.partitionBy(key).orderBy(ms)
     gap = F.coalesce(F.col(ms) - F.lag(ms).over(w), F.lit(period)) >= period
-    parts = events.select(key, F.col(ms).alias("ms")).withColumnRenamed("ms", ms).withColumn("__part", F.sum(F.when(gap, 1).otherwise(0)).over(w))
+    parts = events.select(key, ms).withColumn("__part", F.sum(F.when(gap, 1).otherwise(0)).over(w))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ms, kind="stable")
-        ok, _ = _decide(pdf[ms].tolist(), [], limit, period)
-        return pdf[[key, ms]].assign(ok=ok)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, []
+        for pdf in frames:
+            out = []
+            for k, part, t in zip(pdf[key], pdf["__part"], pdf[ms], strict=True):
+                if (k, part) != at:
+                    at, last = (k, part), []
+                ok, last = _decide([t], last, limit, period)
+                out += ok
+            yield pdf[[key, ms]].assign(ok=out)
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    return parts.groupBy(key, "__part").applyInPandas(run, f"`{key}` {kinds[key]}, `{ms}` {kinds[ms]}, ok boolean")
+    ordered = parts.repartition(key, "__part").sortWithinPartitions(key, "__part", ms)
+    return ordered.mapInPandas(run, f"`{key}` {kinds[key]}, `{ms}` {kinds[ms]}, ok boolean")
 
 
 def limit_stream(events: DataFrame, key: str, ms: str, limit: int = LIMIT, period: int = PERIOD_MS) -> DataFrame:
