@@ -38,6 +38,13 @@ PAGE_LINE = (
     r"(?iU)^\s*(?:[-–—\[(]\s*)?(?:(?:page|seite|página|pagina|pág|pag|p|s)\b\.?\s*)?\d{1,4}"
     r"(?:\s*(?:/|of|von|de|sur)\s*\d{1,4})?(?:\s*[-–—\])])?\s*\.?\s*$"
 )
+#: The same anywhere in a passage, in one search.
+PAGE_ANYWHERE = (
+    r"(?im)^[^\S\n]*(?:[-–—\[(][^\S\n]*)?(?:(?:page|seite|p[áÁ]gina|pagina|p[áÁ]g|pag|p|s)\b\.?[^\S\n]*)?\d{1,4}"
+    r"(?:[^\S\n]*(?:/|of|von|de|sur)[^\S\n]*\d{1,4})?(?:[^\S\n]*[-–—\])])?[^\S\n]*\.?[^\S\n]*$"
+)
+#: Lines that may be titles, in one search: a capital or digit first, no end of a sentence.
+_TITLES = r"(?m)^[^\S\n]*([\"“„«\[(]?[\p{Lu}\p{Lo}\p{N}][^\n]{0,118}(?:[^\s.!?,;:…\"”»)]|\s[.!?…]|[^\s.!?,;:…][\"”»)]))[^\S\n]*$"
 #: A misread word's correct form is at least so many times as frequent, and occurs at least so often.
 RATIO, LEAST = 10, 5
 #: Bits of the sketch of a word's neighbours, on either side; a multiple of 64.
@@ -102,13 +109,21 @@ def passages(df: DataFrame, table: str, row_id: str, group: str, content: str, c
         F.col(row_id).cast("bigint").alias("row_id"),
         F.col(group).alias("grp"),
         F.xxhash64(*copy).alias("copy"),
-        F.regexp_replace(content, "\r\n?", "\n").alias("content"),
+        F.when(F.contains(F.col(content), F.lit("\r")), F.regexp_replace(content, "\r\n?", "\n")).otherwise(F.col(content)).alias("content"),
     )
 
 
-def prose_only(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
-    """The passages of running prose."""
-    return passage_statistics(rows, "content", common).where("__q_prose").select(*rows.columns)
+def judged(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Passages with ``prose`` and ``titles``, the title-shaped lines in their normal form; the text only where it is
+    prose. Everything that needs the text of all passages happens in this one pass."""
+    known = passage_statistics(rows, "content", common)
+    lines = F.filter(F.regexp_extract_all("content", F.lit(_TITLES), 1), title_shaped)
+    return known.select(
+        *[c for c in rows.columns if c != "content"],
+        F.col("__q_prose").alias("prose"),
+        F.filter(F.transform(lines, _norm), lambda x: x != "").alias("titles"),
+        F.when(F.col("__q_prose"), F.col("content")).alias("content"),
+    )
 
 
 # --- words -----------------------------------------------------------------------------------------------------
@@ -120,19 +135,17 @@ def words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     joined = F.lower(F.regexp_replace("content", HYPHEN, "$1"))
     sentences = F.split(joined, r"(?<=[.!?…])[\"”»“)]*\s+|\n\s*\n")
     said = rows.select("table_name", "row_id", F.explode(sentences).alias("s"))
-    said = said.select("table_name", "row_id", F.split("s", r"[\s.,;:()\"“”«»„?!¿¡…–—/\[\]=_]+").alias("t"))
-    known = lambda ws: F.size(F.filter("t", lambda w: w.isin(list(ws))))
+    between = r"(?:['’·-]*[\s.,;:()\"“”«»„?!¿¡…–—/\[\]=_]+['’·-]*)+"
+    said = said.select("table_name", "row_id", F.split("s", between).alias("t"))
+    # Few words are common: the languages are told apart among those only.
+    every = sorted({w for ws in common.values() for w in ws}) or [""]
+    said = said.select("table_name", "row_id", "t", F.filter("t", lambda w: w.isin(every)).alias("c"))
+    known = lambda ws: F.size(F.filter("c", lambda w: w.isin(list(ws))))
     hits = [F.struct(known(ws).alias("n"), F.lit(k).alias("lang")) for k, ws in common.items()]
     best = F.array_max(F.array(*hits)) if hits else F.struct(F.lit(0).alias("n"), F.lit("*").alias("lang"))
     said = said.select("table_name", "row_id", "t", best.alias("best"))
     lang = F.when(F.col("best.n") > 0, F.col("best.lang")).otherwise("*").alias("lang")
-    trimmed = F.filter(F.transform("t", lambda w: F.regexp_replace(w, r"^['’·-]+|['’·-]+$", "")), lambda w: w != "")
-    return said.select("table_name", "row_id", lang, trimmed.alias("t"))
-
-
-def _worth(word: Column) -> Column:
-    """Words that are looked at: three letters or signs, at least one letter."""
-    return (F.length(word) >= 3) & word.rlike(r"\p{L}")
+    return said.select("table_name", "row_id", lang, "t")
 
 
 def vocabulary(sentences: DataFrame) -> DataFrame:
@@ -141,12 +154,13 @@ def vocabulary(sentences: DataFrame) -> DataFrame:
     A sketch is a set of CONTEXT hashed neighbours as bits, or-ed together while counting, so that the context of
     every word in the corpus comes with its count in the same aggregation.
     """
-    near = lambda i: F.xxhash64(F.get("t", i)).bitwiseAND(F.lit(CONTEXT - 1)).cast("int")
-    located = F.transform("t", lambda w, i: F.struct(w.alias("word"), near(i - 1).alias("p"), near(i + 1).alias("q")))
-    flat = sentences.select("lang", F.explode(located).alias("x")).select("lang", "x.*").where(_worth(F.col("word")))
+    hashed = sentences.select("lang", "t", F.transform("t", lambda w: F.xxhash64(w).bitwiseAND(F.lit(CONTEXT - 1)).cast("int")).alias("h"))
+    located = F.transform("t", lambda w, i: F.struct(w.alias("word"), F.get("h", i - 1).alias("p"), F.get("h", i + 1).alias("q")))
+    flat = hashed.select("lang", F.explode(located).alias("x")).select("lang", "x.*").where(F.length("word") >= 3)
     one = F.lit(1).cast("bigint")
     bit = lambda c, k: F.bit_or(F.when(F.shiftright(c, 6) == k, F.call_function("shiftleft", one, F.col(c).bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("bigint"))).alias(f"{c}{k}")
-    return flat.groupBy("lang", "word").agg(F.count("*").alias("n"), *[bit(c, k) for c in "pq" for k in range(CONTEXT // 64)])
+    counted = flat.groupBy("lang", "word").agg(F.count("*").alias("n"), *[bit(c, k) for c in "pq" for k in range(CONTEXT // 64)])
+    return counted.where(F.col("word").rlike(r"\p{L}"))
 
 
 def misread(counted: DataFrame) -> DataFrame:
@@ -205,33 +219,30 @@ def title_shaped(line: Column) -> Column:
     return (F.length(masked) <= 120) & starts & ~ends_text & ~masked.rlike(PAGE_LINE) & (coded | capitals | titled)
 
 
-def recurring_headers(rows: DataFrame) -> DataFrame:
+def recurring_headers(known: DataFrame) -> DataFrame:
     """(table_name, grp, norm): title-shaped lines that stand in more than one passage of a group."""
-    lines = F.filter(F.split("content", "\n"), title_shaped)
-    own = rows.where("grp IS NOT NULL").select("table_name", "grp", "copy", F.explode(lines).alias("line"))
-    keyed = own.select("table_name", "grp", _norm(F.col("line")).alias("norm"), "copy").where("norm <> ''")
+    own = known.where("grp IS NOT NULL").select("table_name", "grp", "copy", F.explode("titles").alias("norm"))
     # Smallest and largest copy differ exactly when there is more than one; that needs no distinct.
-    seen = keyed.groupBy("table_name", "grp", "norm").agg(F.min("copy").alias("a"), F.max("copy").alias("b"))
+    seen = own.groupBy("table_name", "grp", "norm").agg(F.min("copy").alias("a"), F.max("copy").alias("b"))
     return seen.where("a <> b").select("table_name", "grp", "norm")
 
 
-def with_headers(rows: DataFrame, every: DataFrame) -> DataFrame:
-    """(table_name, row_id) of ``rows`` that hold a header recurring among ``every`` passage."""
-    lines = F.filter(F.split("content", "\n"), title_shaped)
-    own = rows.where("grp IS NOT NULL").select("table_name", "row_id", "grp", F.explode(lines).alias("line"))
-    keyed = own.select("table_name", "row_id", "grp", _norm(F.col("line")).alias("norm"))
-    return keyed.join(recurring_headers(every), ["table_name", "grp", "norm"], "left_semi").select("table_name", "row_id").distinct()
+def with_headers(known: DataFrame) -> DataFrame:
+    """(table_name, row_id) of prose that holds a line recurring in its group."""
+    own = known.where("prose AND grp IS NOT NULL").select("table_name", "row_id", "grp", F.explode("titles").alias("norm"))
+    return own.join(recurring_headers(known), ["table_name", "grp", "norm"], "left_semi").select("table_name", "row_id").distinct()
 
 
 def find_noise(every: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     """(table_name, row_id, noise) of the passages of prose, one row per kind of noise."""
-    prose = cut(prose_only(spread(every), common))
-    page = F.exists(F.split("content", "\n"), lambda line: line.rlike(PAGE_LINE))
+    known = cut(judged(spread(every), common))
+    prose = known.where("prose")
+    page = F.col("content").rlike(PAGE_ANYWHERE)
     kind = lambda df, name: df.select("table_name", "row_id", F.lit(name).alias("noise"))
     return (
         kind(prose.where(F.col("content").rlike(HYPHEN)), "hyphen")
         .unionAll(kind(prose.where(page), "page_no"))
-        .unionAll(kind(with_headers(prose, every), "header"))
+        .unionAll(kind(with_headers(known), "header"))
         .unionAll(kind(misread_words(prose, common), "chars"))
         .distinct()
     )
@@ -243,11 +254,12 @@ def repair(every: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     Page numbers and recurring headers are left out, divided words joined, misread words replaced by their correct
     forms (a capital at the start is kept), and lines reflowed: a window over the passage's lines numbers its paragraphs.
     """
-    prose = cut(prose_only(spread(every), common))
+    known = cut(judged(spread(every), common))
+    prose = known.where("prose")
     key = ["table_name", "row_id"]
     lines = prose.select(*key, "grp", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
     lines = lines.where(~F.col("line").rlike(PAGE_LINE)).withColumn("norm", F.when(title_shaped(F.col("line")), _norm(F.col("line"))))
-    headers = recurring_headers(every).withColumn("header", F.lit(True))
+    headers = recurring_headers(known).withColumn("header", F.lit(True))
     kept = lines.join(headers, ["table_name", "grp", "norm"], "left").where("header IS NULL")
     by_pos = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     numbered = kept.select(*key, "pos", F.trim("line").alias("line"), F.count_if(F.trim("line") == "").over(by_pos).alias("par")).where("line <> ''")
