@@ -140,12 +140,15 @@ def words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     # Few words are common: the languages are told apart among those only.
     every = sorted({w for ws in common.values() for w in ws}) or [""]
     said = said.select("table_name", "row_id", "t", F.filter("t", lambda w: w.isin(every)).alias("c"))
+    # One number tells count and language, so that nothing is computed twice; it is never null, or a filter on that
+    # would be pushed down and compute it once more.
     known = lambda ws: F.size(F.filter("c", lambda w: w.isin(list(ws))))
-    hits = [F.struct(known(ws).alias("n"), F.lit(k).alias("lang")) for k, ws in common.items()]
-    best = F.array_max(F.array(*hits)) if hits else F.struct(F.lit(0).alias("n"), F.lit("*").alias("lang"))
-    said = said.select("table_name", "row_id", "t", best.alias("best"))
-    lang = F.when(F.col("best.n") > 0, F.col("best.lang")).otherwise("*").alias("lang")
-    return said.select("table_name", "row_id", lang, "t")
+    step = len(common) + 1
+    hits = [known(ws) * step + i for i, ws in enumerate(common.values(), 1)]
+    said = said.select("table_name", "row_id", "t", F.coalesce(F.greatest(*hits, F.lit(0), F.lit(0)), F.lit(0)).alias("code"))
+    names = F.array(*[F.lit(x) for x in ("*", *common)])
+    lang = F.coalesce(F.get(names, F.when(F.col("code") >= step, F.col("code") % step).otherwise(0)), F.lit("*"))
+    return said.select("table_name", "row_id", lang.alias("lang"), "t")
 
 
 def vocabulary(sentences: DataFrame) -> DataFrame:
