@@ -46,7 +46,7 @@ def _words(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The canonical form; null where there is no word."""
-    folded = F.lower(F.upper(text))
+    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))  # capitals have no ß
     flat = _words(folded)
     parts = F.filter(
         F.split(folded, r"[|;&]+|\r?\n(?=[^\p{L}\p{N}\n]*[\p{L}\p{N}]+\s*[:=])"), lambda p: p.rlike(r"[\p{L}\p{N}]")
