@@ -71,7 +71,7 @@ def prompt(question: Column, blocks: Column, history: Column, intro: str = "Answ
 
 def distinct_keywords(keywords: Column) -> Column:
     """Keywords of all sources, split at commas, each once in order of appearance, joined again."""
-    parts = F.flatten(F.transform(keywords, lambda k: F.transform(F.split(text_of(k), ","), F.trim)))
+    parts = F.flatten(F.transform(keywords, lambda k: F.transform(F.split(text_of(k), ","), lambda p: F.trim(p))))
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), ", ")
 
 
