@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalbox.llm.spread import spread
+from signalbox.llm.spread import bounded_broadcast, spread
 from signalbox.session import cut
 
 BITS = 128
@@ -42,6 +42,8 @@ SAMPLE = 100_000
 CELL, PER_CENTROID, BLOCK = 1_000, 16, 4_096
 PROBES = 8
 _SEED = 20_240
+#: Ids (8 bytes) of candidates that may be broadcast.
+BROADCAST_IDS = 2_000_000
 #: Groups (model, length) that one run may have; each has a tree of its own.
 MAX_GROUPS = 1_000
 
@@ -145,15 +147,23 @@ def estimate(four: np.ndarray, range_: np.ndarray, code: np.ndarray, scalar: np.
     return (q @ sign.T) / (np.sqrt(bits) * scalar), bound
 
 
-_CODED = "grp bigint, id bigint, cells array<int>, code binary, scalar float, four binary, low float, step float"
+_CODED = "id bigint, slots array<int>, code binary, query binary"
 
 
-def code_vectors(vectors: DataFrame, trees: dict[int, Tree] | None, probes: int) -> DataFrame:
-    """Codes and cells of (grp, id, vec). Without trees every group is one cell."""
-    shared = vectors.sparkSession.sparkContext.broadcast(trees)  # bounded by SAMPLE / PER_CENTROID centroids
+def code_vectors(vectors: DataFrame, trees: dict[int, Tree] | dict[int, None], probes: int) -> DataFrame:
+    """Codes of (grp, id, vec), with the slots (cells numbered over all groups) a vector looks into, its own first.
+
+    A code is the packed signs and the scalar; a query the packed four-bit values, lowest and step: one binary value
+    each, as these rows are the bulk of what is shuffled. A group without a tree is one cell.
+    """
+    first, at = {}, 0
+    for g in sorted(trees):
+        first[g] = at
+        at += len(trees[g].leaves) if trees[g] else 1
+    shared = vectors.sparkSession.sparkContext.broadcast((trees, first))  # bounded by SAMPLE / PER_CENTROID centroids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, offset = shared.value
         for batch in batches:
             grp, ids = batch.column(0).to_numpy(), batch.column(1)
             sizes = np.diff(batch.column(2).offsets.to_numpy())
@@ -162,12 +172,13 @@ def code_vectors(vectors: DataFrame, trees: dict[int, Tree] | None, probes: int)
                 flat = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
                 x = _unit(flat.reshape(len(at), d).astype(np.float64)).astype(np.float32)
                 code, scalar, four, range_ = encode(x)
-                cells = known[g].nearest(x, probes) if known else np.zeros((len(at), 1), np.int64)
+                cells = known[g].nearest(x, probes) if known[g] else np.zeros((len(at), 1), np.int64)
+                joined = lambda *parts: np.concatenate([np.ascontiguousarray(p).view(np.uint8).reshape(len(at), -1) for p in parts], axis=1)  # noqa: B023, E731
                 fixed = lambda a: pa.FixedSizeBinaryArray.from_buffers(pa.binary(a.shape[1]), len(a), [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
                 offsets = pa.array(np.arange(len(at) + 1) * cells.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grp[at]), ids.take(pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel(), pa.int32())), fixed(code), pa.array(scalar), fixed(four), pa.array(range_[:, 0]), pa.array(range_[:, 1])],
-                    names=["grp", "id", "cells", "code", "scalar", "four", "low", "step"],
+                    [ids.take(pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel() + offset[g], pa.int32())), fixed(joined(code, scalar)), fixed(joined(four, range_))],
+                    names=["id", "slots", "code", "query"],
                 )
 
     return vectors.select("grp", "id", "vec").mapInArrow(run, _CODED)
@@ -175,33 +186,35 @@ def code_vectors(vectors: DataFrame, trees: dict[int, Tree] | None, probes: int)
 
 def candidates(coded: DataFrame, asked: DataFrame | None, k: int, min_cosine: float | None) -> DataFrame:
     """(id, other) pairs that the codes cannot rule out, for the ids in ``asked`` (all by default)."""
-    base = coded.select("grp", F.col("cells")[0].alias("cell"), "id", "code", "scalar")
+    base = coded.select(F.col("slots")[0].alias("slot"), "id", "code")
     asks = coded if asked is None else coded.join(asked, "id", "left_semi")
-    asks = asks.select("grp", F.explode("cells").alias("cell"), "id", "four", "low", "step")
-    # Blocks of each cell: as many as its rows need, on either side.
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
-    n_base = base.groupBy("grp", "cell").agg(F.count("*").alias("nb"))
-    n_asks = asks.groupBy("grp", "cell").agg(F.count("*").alias("nq"))
-    plan = F.broadcast(n_base.join(n_asks, ["grp", "cell"]).select("grp", "cell", blocks("nb").alias("nb"), blocks("nq").alias("nq")))  # a row per centroid
-    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = base.join(plan, ["grp", "cell"]).select("grp", "cell", at("nb").alias("bb"), span("nq").alias("qb"), "id", "code", "scalar")
-    right = asks.join(plan, ["grp", "cell"]).select("grp", "cell", span("nb").alias("bb"), at("nq").alias("qb"), "id", "four", "low", "step")
+    asks = asks.select(F.explode("slots").alias("slot"), "id", "query")
+    # Blocks of each cell: as many as its rows need, on either side. A block's key holds the slot and both numbers.
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("bigint")
+    n_base = base.groupBy("slot").agg(F.count("*").alias("nb"))
+    n_asks = asks.groupBy("slot").agg(F.count("*").alias("nq"))
+    sizes = n_base.join(n_asks, "slot").select("slot", blocks("nb").alias("nb"), blocks("nq").alias("nq"))
+    fits = F.greatest("nb", "nq") < 1 << 16
+    plan = F.broadcast(sizes.withColumn("nb", F.when(fits, F.col("nb")).otherwise(F.raise_error(F.lit("a cell has too many blocks")).cast("bigint"))))  # a row per centroid
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    key = (F.col("slot").cast("bigint") * (1 << 32) + F.col("bb") * (1 << 16) + F.col("qb")).alias("key")
+    left = base.join(plan, "slot").select("slot", at("nb").alias("bb"), span("nq").alias("qb"), "id", "code").select(key, "id", "code")
+    right = asks.join(plan, "slot").select("slot", span("nb").alias("bb"), at("nq").alias("qb"), "id", "query")
     # Both sides come from one table; new names keep their columns apart.
-    keys = ["grp", "cell", "bb", "qb"]
-    right = right.select(*[F.col(c).alias(f"q_{c}") for c in right.columns])
+    right = right.select(key.alias("q_key"), F.col("id").alias("q_id"), "query")
 
     def meet(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(q):
             return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
         raw = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
-        q = q.rename(columns=lambda c: c.removeprefix("q_"))
-        code, scalar, bid = raw(b["code"]), b["scalar"].to_numpy(np.float32), b["id"].to_numpy(np.int64)
+        packed, bid = raw(b["code"]), b["id"].to_numpy(np.int64)
+        code, scalar = np.ascontiguousarray(packed[:, :-4]), np.ascontiguousarray(packed[:, -4:]).view(np.float32)[:, 0]
         ids, others = [], []
         for a in range(0, len(q), 1024):
             part = q.iloc[a : a + 1024]
-            qid = part["id"].to_numpy(np.int64)
-            est, bound = estimate(raw(part["four"]), part[["low", "step"]].to_numpy(np.float32), code, scalar)
+            qid, asked_ = part["q_id"].to_numpy(np.int64), raw(part["query"])
+            est, bound = estimate(np.ascontiguousarray(asked_[:, :-8]), np.ascontiguousarray(asked_[:, -8:]).view(np.float32), code, scalar)
             high = est + bound
             keep = (qid[:, None] != bid) if min_cosine is None else (high >= min_cosine) & (qid[:, None] != bid)
             if min_cosine is None and len(bid) > k + 1:
@@ -212,7 +225,7 @@ def candidates(coded: DataFrame, asked: DataFrame | None, k: int, min_cosine: fl
             others.append(bid[j])
         return pd.DataFrame({"id": np.concatenate(ids), "other": np.concatenate(others)})
 
-    return left.groupBy(keys).cogroup(right.groupBy([f"q_{c}" for c in keys])).applyInPandas(meet, "id bigint, other bigint")
+    return left.groupBy("key").cogroup(right.groupBy("q_key")).applyInPandas(meet, "id bigint, other bigint")
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -258,11 +271,14 @@ def fit_trees(reps: DataFrame) -> dict[int, Tree]:
 
 def rerank(pairs: DataFrame, reps: DataFrame, k: int, min_cosine: float | None, both_ways: bool) -> DataFrame:
     """(id, other, cosine): exact cosines of the candidate pairs, at most k for an id."""
-    a = reps.select(F.col("id"), F.col("vec").alias("va"))
-    b = reps.select(F.col("id").alias("other"), F.col("vec").alias("vb"))
     if both_ways:
         pairs = pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
-    exact = pairs.distinct().join(a, "id").join(b, "other").select("id", "other", _cosine(F.col("va"), F.col("vb")).alias("cosine"))
+    pairs = cut(pairs.distinct())
+    # Only vectors of candidates are moved; their ids are broadcast to the scan where their counted number allows.
+    ids = cut(pairs.select("id").unionAll(pairs.select("other")).distinct())
+    needed = reps.select("id", "vec").join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "id", "left_semi")
+    a, b = needed.withColumnRenamed("vec", "va"), needed.select(F.col("id").alias("other"), F.col("vec").alias("vb"))
+    exact = pairs.join(a, "id").join(b, "other").select("id", "other", _cosine(F.col("va"), F.col("vb")).alias("cosine"))
     if min_cosine is not None:
         exact = exact.where(F.col("cosine") >= min_cosine)
     if both_ways:
@@ -286,7 +302,8 @@ def similar_to(reps: DataFrame, members: DataFrame, asked: DataFrame, k: int = 2
     own = reps.select("id").join(asked.select("id"), "id", "left_semi").select("id", F.col("id").alias("rep"))
     shared = members.join(asked.select("id"), "id", "left_semi").where("id <> rep").select("id", "rep")
     mine = cut(own.unionAll(shared))
-    coded = cut(code_vectors(spread(reps), None, 1))
+    groups = {r.grp: None for r in reps.select("grp").distinct().limit(MAX_GROUPS + 1).collect()}
+    coded = cut(code_vectors(spread(reps), groups, 1))
     lists = rerank(candidates(coded, mine.select(F.col("rep").alias("id")).distinct(), k, None), reps, k, None, both_ways=False)
     return mine.join(lists.withColumnRenamed("id", "rep"), "rep").select("id", "other", "cosine", "rank")
 
