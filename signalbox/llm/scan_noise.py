@@ -33,7 +33,8 @@ from signalbox.session import cut
 
 #: Signs that divide a word at a line end; the hyphen, the soft hyphen, the not sign that stands for it, and U+2010.
 SIGNS = "-­¬‐"
-HYPHEN = rf"(\p{{L}})[{SIGNS}][^\S\n]*\n[^\S\n]*(?=\p{{L}})"
+# The sign comes first in the pattern, as it is rare; the letter before it is looked back at.
+HYPHEN = rf"[{SIGNS}](?<=\p{{L}}[{SIGNS}])[^\S\n]*\n[^\S\n]*(?=\p{{L}})"
 PAGE_LINE = (
     r"(?iU)^\s*(?:[-–—\[(]\s*)?(?:(?:page|seite|página|pagina|pág|pag|p|s)\b\.?\s*)?\d{1,4}"
     r"(?:\s*(?:/|of|von|de|sur)\s*\d{1,4})?(?:\s*[-–—\])])?\s*\.?\s*$"
@@ -132,10 +133,11 @@ def judged(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
 def words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     """(table_name, row_id, lang, t): the words of each sentence of each passage in lower case, divided words joined,
     with the sentence's language ('*' where no common word tells it)."""
-    joined = F.lower(F.regexp_replace("content", HYPHEN, "$1"))
-    sentences = F.split(joined, r"(?<=[.!?…])[\"”»“)]*\s+|\n\s*\n")
+    joined = F.lower(F.regexp_replace("content", HYPHEN, ""))
+    sentences = F.split(joined, r"[.!?…][\"”»“)]*\s+|\n\s*\n")
     said = rows.select("table_name", "row_id", F.explode(sentences).alias("s"))
-    between = r"(?:['’·-]*[\s.,;:()\"“”«»„?!¿¡…–—/\[\]=_]+['’·-]*)+"
+    marks = r"\s.,;:()\"“”«»„?!¿¡…–—/\[\]=_"
+    between = rf"['’·-]*[{marks}][{marks}'’·-]*|['’·-]+$"
     said = said.select("table_name", "row_id", F.split("s", between).alias("t"))
     # Few words are common: the languages are told apart among those only.
     every = sorted({w for ws in common.values() for w in ws}) or [""]
@@ -268,7 +270,7 @@ def repair(every: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     numbered = kept.select(*key, "pos", F.trim("line").alias("line"), F.count_if(F.trim("line") == "").over(by_pos).alias("par")).where("line <> ''")
     text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     paragraphs = numbered.groupBy(*key, "par").agg(text_of.alias("text"))
-    flowed = paragraphs.select(*key, "par", F.regexp_replace(F.regexp_replace("text", HYPHEN, "$1"), r"\s+", " ").alias("text"))
+    flowed = paragraphs.select(*key, "par", F.regexp_replace(F.regexp_replace("text", HYPHEN, ""), r"\s+", " ").alias("text"))
     whole = flowed.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("par", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     wrong = misread_words(prose, common).groupBy(*key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "correct")))).alias("fix"))
     # Pieces are words and what lies between them, so that putting them together again loses nothing.
