@@ -137,7 +137,7 @@ def words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     sentences = F.split(joined, r"[.!?…][\"”»“)]*\s+|\n\s*\n")
     said = rows.select("table_name", "row_id", F.explode(sentences).alias("s"))
     marks = r"\s.,;:()\"“”«»„?!¿¡…–—/\[\]=_"
-    between = rf"['’·-]*[{marks}][{marks}'’·-]*|['’·-]+$"
+    between = rf"['’-]*[{marks}][{marks}'’-]*|['’-]+$"
     said = said.select("table_name", "row_id", F.split("s", between).alias("t"))
     # Few words are common: the languages are told apart among those only.
     every = sorted({w for ws in common.values() for w in ws}) or [""]
