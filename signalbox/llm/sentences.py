@@ -204,6 +204,10 @@ class Segmenter:
             words = _WORD.findall(t[at : min(b, at + 60)])[:4]
             if any(w in SPEECH for w in words[1:]) and n.isupper():
                 return False
+            # A text cut off in the speaker's name or the verb.
+            rest = t[at:b].split()
+            if n.isupper() and b == len(t) and len(rest) <= 2 and rest[0].isalpha() and (len(rest) == 1 or any(v.startswith(rest[1]) for v in SPEECH)):
+                return False
             if _CHINESE_TAIL.match(t, at, b):
                 return False
         return True

@@ -34,6 +34,8 @@ def test_units(want):
         ("9. Safety\n\nOne is\nwrapped. Two\n\n1) pump.\n2) case, 3 mm\n3) cock", ["9. Safety", "One is\nwrapped.", "Two", "1) pump.", "2) case, 3 mm", "3) cock"]),
         ("It hardens.Do not open.See www.shed9.example now.", ["It hardens.", "Do not open.", "See www.shed9.example now."]),
         ("It was drained ... and then left. The guard waited… and it was cut of", ["It was drained ... and then left.", "The guard waited… and it was cut of"]),
+        ("It is shut. “Is the fan loose?” Sel", ["It is shut.", "“Is the fan loose?” Sel"]),
+        ("“Is the fan loose?” Selholm as", ["“Is the fan loose?” Selholm as"]),
         ("", []),
         (None, []),
         (" \n\n ", []),
