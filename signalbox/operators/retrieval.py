@@ -63,7 +63,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, docs: DataFrame, config:
     """
     asked = question_terms(questions)
     ids = chunks.select("id", "source", "document_id")
-    vec = vectors.score_queries(questions.select("query", vectors.unit(F.col("vector")).alias("qv")), chunks.select("id", vectors.unit(F.col("embedding")).alias("v")).where("v IS NOT NULL"))
+    vec = vectors.score_queries(questions.select("query", vectors.unit(F.col("vector")).alias("qv")), chunks.select("id", vectors.unit(F.col("embedding")).alias("v")).where("v IS NOT NULL"), least=config.min_score)
     vec = vec.where(F.col("score") >= config.min_score).select("query", "id", (vectors.scaled(F.col("score"), config.min_score) * config.vector_weight).alias("score"))
     key = keyword_scores(asked, chunks, config.pool).select("query", "id", (F.col("score") * config.keyword_weight).alias("score"))
     meta = metadata_scores(asked, docs, config.pool, config.metadata_weight)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +31,44 @@ def scaled(score: Column, least: float) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - F.lit(least)) / F.lit((1 - least) or 1.0)))
 
 
-def score_queries(queries: DataFrame, vectors: DataFrame, block: int = 512) -> DataFrame:
-    """(query, id, score) of each query against every vector: (query, qv) x (id, v).
+#: Rows of either side in a block of ``score_queries``.
+BLOCK = 4_096
 
-    Queries are packed in blocks of ``block`` rows, so a block is a bounded row and the vectors are read once for each.
+
+def score_queries(queries: DataFrame, vectors: DataFrame, least: float | None = None) -> DataFrame:
+    """(query, id, score) of each query against every vector, of those with a score from ``least`` on: (query, qv) x (id, v).
+
+    A stated query set meets all rows in blocks of bounded size, one matrix product each, accumulated in doubles; pairs
+    under ``least`` never leave their block. Lengths may differ: products go over the shorter one. Null vectors score
+    nowhere.
     """
-    blocks = max(1, -(-queries.count() // block))
-    packed = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks))).agg(F.collect_list(F.struct("query", "qv")).alias("q"))
-    pairs = vectors.join(packed.select("q")).select("id", "v", F.explode("q").alias("q"))
-    return pairs.select("q.query", "id", dot(F.col("q.qv"), F.col("v")).alias("score"))
+    q, v = queries.where(F.col("qv").isNotNull()), vectors.where(F.col("v").isNotNull())
+    nq, nv = max(1, -(-q.count() // BLOCK)), max(1, -(-v.count() // BLOCK))
+    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = v.select(F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"), span(nq).alias("c"), "id", F.col("v").cast("array<double>").alias("v"))
+    right = q.select(span(nv).alias("q_b"), F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("q_c"), "query", F.col("qv").cast("array<double>").alias("qv"))
+
+    def matrix(rows: pd.Series, width: int) -> np.ndarray:
+        out = np.zeros((len(rows), width))
+        for i, x in enumerate(rows):
+            out[i, : len(x)] = x
+        return out
+
+    def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query": q["query"].iloc[:0], "id": v["id"].iloc[:0], "score": np.zeros(0)})
+        width = max(v["v"].map(len).max(), q["qv"].map(len).max())
+        m, out = matrix(v["v"], width), []
+        for at in range(0, len(q), 256):
+            part = q.iloc[at : at + 256]
+            s = matrix(part["qv"], width) @ m.T
+            i, j = np.nonzero(s >= least) if least is not None else np.nonzero(np.ones_like(s, bool))
+            out.append(pd.DataFrame({"query": part["query"].to_numpy()[i], "id": v["id"].to_numpy()[j], "score": s[i, j]}))
+        return pd.concat(out)
+
+    grouped = left.groupBy("b", "c").cogroup(right.groupBy("q_b", "q_c"))
+    return grouped.applyInPandas(meet, f"query {kinds['query']}, id {kinds['id']}, score double")
 
 
 def top_k(scores: DataFrame, k: int, cap: tuple[str, int] | None = None) -> DataFrame:
