@@ -15,7 +15,7 @@ repair regroups the lines of a passage. Counting is partial, so no group or word
 Defined results
 ---------------
 * only passages of running prose (the verdict of problem 2) are cases; null and blank ones never;
-* passages stored again count as one when lines recur, but each is a case of its own;
+* passages stored again count as one when lines recur and words are counted, but each is a case of its own;
 * a null group has no recurring lines; repeated rows of an id give one row per noise; empty tables give no rows.
 """
 
@@ -50,7 +50,7 @@ _TITLES = r"(?m)^[^\S\n]*([\"“„«\[(]?[\p{Lu}\p{Lo}\p{N}][^\n]{0,118}(?:[^\s
 RATIO, LEAST = 10, 5
 #: Bits of the sketch of a word's neighbours, on either side; a multiple of 64.
 CONTEXT = 256
-#: Rows of the table of misread words (some 60 bytes each) that may be broadcast.
+#: Rows of the table of misread words, or of passages stored again (some 60 bytes each), that may be broadcast.
 BROADCAST_ROWS = 300_000
 
 # Glyphs that recognition confuses, as (read correctly, misread).
@@ -116,7 +116,7 @@ def passages(df: DataFrame, table: str, row_id: str, group: str, content: str, c
 
 def judged(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     """Passages with ``prose`` and ``titles``, the title-shaped lines in their normal form; the text only where it is
-    prose. Everything that needs the text of all passages happens in this one pass."""
+    prose; ``at`` numbers the rows. Everything that needs the text of all passages happens in this one pass."""
     known = passage_statistics(rows, "content", common)
     lines = F.filter(F.regexp_extract_all("content", F.lit(_TITLES), 1), title_shaped)
     return known.select(
@@ -124,6 +124,7 @@ def judged(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
         F.col("__q_prose").alias("prose"),
         F.filter(F.transform(lines, _norm), lambda x: x != "").alias("titles"),
         F.when(F.col("__q_prose"), F.col("content")).alias("content"),
+        F.monotonically_increasing_id().alias("at"),
     )
 
 
@@ -195,12 +196,22 @@ def misread(counted: DataFrame) -> DataFrame:
     return every.groupBy("lang", "word").agg(F.min("correct").alias("correct"))
 
 
+def first_copies(rows: DataFrame) -> DataFrame:
+    """One row of each (table_name, grp, copy), the one with the smallest ``at``; texts stay where they are unless more
+    passages are stored again than may be broadcast."""
+    key = ["table_name", "grp", "copy"]
+    seen = rows.groupBy(*key).agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    again = cut(seen.where("a <> b").select(*[F.col(c).alias(f"a_{c}") for c in key], "a"))
+    same = (F.col("table_name") == F.col("a_table_name")) & F.col("grp").eqNullSafe(F.col("a_grp")) & (F.col("copy") == F.col("a_copy"))
+    return rows.join(bounded_broadcast(again, again.count(), BROADCAST_ROWS), same, "left").where("a IS NULL OR a = at").select(*rows.columns)
+
+
 def misread_words(rows: DataFrame, common: Mapping[str, Sequence[str]]) -> DataFrame:
     """(table_name, row_id, word, correct): each misread word of each passage, once."""
-    said = words(rows, common)
-    # One vocabulary for all tables; counted in full.
-    wrong = cut(misread(cut(vocabulary(said))))
-    flat = said.select("table_name", "row_id", "lang", F.explode("t").alias("word"))
+    # One vocabulary for all tables, of all different passages: a passage stored many times must not make its misread
+    # words frequent.
+    wrong = cut(misread(cut(vocabulary(words(first_copies(rows), common)))))
+    flat = words(rows, common).select("table_name", "row_id", "lang", F.explode("t").alias("word"))
     found = flat.join(bounded_broadcast(wrong, wrong.count(), BROADCAST_ROWS), ["lang", "word"])
     return found.select("table_name", "row_id", "word", "correct").distinct()
 

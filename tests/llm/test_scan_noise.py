@@ -71,3 +71,21 @@ def test_explained(a, b, want):
 def test_very_long_passage(spark):
     text = " ".join(sentence(i) for i in range(2000)) + "\nThe end is in the coa-\nch of the train."
     assert found(spark, [(1, "a", 1, 0, text, "x")]) == {1: {"hyphen"}}
+
+
+def test_hot_copies_count_once(spark):
+    damaged = "The brakc va|ve of the coach was tested and is sound."
+    hot = [(i, "hot", 1, 0, damaged, "x") for i in range(1, 31)] + [(31, None, 1, 0, damaged, "x"), (32, None, 1, 0, damaged, "x")]
+    other = [(40, "other", 1, 0, "The guard of the coach and the brakc va|ve is in the train.", "x")]
+    data = hot + other
+    assert found(spark, data) == {i: {"chars"} for i in [*range(1, 33), 40]}
+    got = {r.row_id: r.text for r in S.repair(rows(spark, base() + data), COMMON).where(F.col("row_id") < 1000).collect()}
+    assert got[1] == got[32] == "The brake valve of the coach was tested and is sound."
+    assert got[40] == "The guard of the coach and the brake valve is in the train."
+
+
+def test_first_copies(spark, monkeypatch):
+    df = spark.createDataFrame([("t", "a", 1, 0), ("t", "a", 1, 5), ("t", None, 1, 1), ("t", None, 1, 2), ("u", "a", 1, 3), ("t", "a", 2, 4)], "table_name string, grp string, copy bigint, at bigint")
+    for limit in (S.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", limit)
+        assert sorted(r.at for r in S.first_copies(df).collect()) == [0, 1, 3, 4]
