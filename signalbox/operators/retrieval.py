@@ -59,7 +59,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, docs: DataFrame, config:
     """(query, id, source, score): fused, at most ``per_document`` chunks of a source, twice ``top_k`` in all.
 
     Three score lists are united and summed by id: one shuffle, no outer joins. Metadata reaches chunks by two equi-joins,
-    by source and by document id, whose larger score counts.
+    by source and by document id, whose larger score counts. A chunk without a vector has no vector score, and no other loss.
     """
     asked = question_terms(questions)
     ids = chunks.select("id", "source", "document_id")
@@ -71,7 +71,7 @@ def candidates(questions: DataFrame, chunks: DataFrame, docs: DataFrame, config:
     by_id = meta.join(ids, "document_id").select("query", "id", "score")
     lifted = by_source.unionAll(by_id).groupBy("query", "id").agg((F.max("score") * config.metadata_boost).alias("score"))
     fused = vec.unionAll(key).unionAll(lifted).groupBy("query", "id").agg(F.round(F.sum("score"), 6).alias("score"))
-    scored = fused.join(chunks.where("embedding IS NOT NULL").select("id", "source"), "id")
+    scored = fused.join(chunks.select("id", "source"), "id")
     return vectors.top_k(scored, config.top_k * 2, cap=("source", config.per_document)).select("query", "id", "source", "score")
 
 

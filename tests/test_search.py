@@ -54,6 +54,19 @@ def test_retrieval_prefers_metadata_and_readable(spark):
     assert {r.id for r in out if r["rank"] == 1} == {1} and 3 not in {r.id for r in out}
 
 
+def test_retrieval_finds_passages_without_a_vector(spark):
+    vec = [1.0] + [0.0] * 7
+    chunks = spark.createDataFrame(
+        [(1, "a.pdf", 1, 1, "Bearing caps are checked with feeler gauges during routine exams.", None), (2, "b.pdf", 2, 1, "The weather was fine on the day of the visit to the depot.", vec), (3, "c.pdf", 3, 1, "This scanned page holds generic workshop notes and remarks.", None)],
+        "id bigint, source string, document_id bigint, page int, content string, embedding array<float>",
+    )
+    docs = spark.createDataFrame([(3, "c.pdf", "SMI-900", "Power transformer maintenance manual", "transformer, oil")], "doc_id bigint, filename string, document_number string, caption string, keywords string")
+    asked = spark.createDataFrame([(7, "feeler gauges", vec), (8, "SMI-900 transformer", vec)], "query bigint, text string, vector array<float>")
+    config = retrieval.RetrievalConfig()
+    assert {(r.query, r.id): r.score for r in retrieval.candidates(asked, chunks, docs, config).collect()} == {(7, 1): 0.5, (7, 2): 0.5, (8, 2): 0.5, (8, 3): 0.6}
+    assert {(r.query, r.id) for r in retrieval.retrieve(asked, chunks, docs).collect()} == {(7, 1), (7, 2), (8, 2), (8, 3)}
+
+
 def test_rulebook_parse(spark):
     lines = ["CHAPTER l", "SIGNALS", "1.01 Short title", "body one", "see 2.01 there", "1.03 NEXT RULE", "WRAPPED TITLE", "text", "1.02 not a heading", "CHAPTER II", "TRAINS", "2.01 Stops", "CHAPTER II", "more"]
     df = spark.createDataFrame([("b", i, x) for i, x in enumerate(lines)], "book string, pos bigint, line string")
