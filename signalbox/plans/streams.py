@@ -30,9 +30,11 @@ def tumbling_counts_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tumbling_counts_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same counts by a stream: repeats of an id are dropped within the watermark, buckets come out once closed."""
+    """The same counts by a stream, but repeats of an id are dropped within the watermark; buckets come out once closed, the
+    last ones at the end of the input."""
     hits = _stream(spark, d, "usage_page_hits").select("name", "at", "id")
-    counts = windows.tumbling(hits, "at", "name")
+    hits = windows.closed(spark, hits, "at", load(spark, d, "usage_page_hits", "at"), f"{shared_dir(spark)}/end-{uuid.uuid4().hex}")
+    counts = windows.tumbling(hits, "at", "name", once="id")
     return _run(spark, counts).select("name", F.date_format("bucket", "yyyy-MM-dd").alias("day"), "n")
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from signalbox.plans import streams
 from signalbox.sources import files, sinks
 from signalbox.streaming import answers, limiter, windows
 
@@ -62,3 +63,11 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.replace_partitions(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), p, "k")
     sinks.replace_partitions(spark.createDataFrame([("a", 2)], "k string, v int"), p, "k")
     assert {(r.k, r.v) for r in spark.read.parquet(p).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_tumbling_stream_drops_repeats_and_closes_the_last_day(spark, tmp_path):
+    hits = [(1, "a", "2026-01-01 10:00:00"), (1, "a", "2026-01-01 10:00:00"), (2, "a", "2026-01-01 11:00:00"), (3, "b", "2026-01-20 10:00:00"), (None, "b", "2026-01-20 11:00:00"), (None, "b", "2026-01-20 12:00:00")]
+    df = spark.createDataFrame(hits, "id bigint, name string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    df.write.parquet(str(tmp_path / "usage_page_hits.parquet"))
+    got = {tuple(r) for r in streams.tumbling_counts_stream(spark, str(tmp_path)).collect()}
+    assert got == {("a", "2026-01-01", 2), ("b", "2026-01-20", 3)}
