@@ -88,4 +88,53 @@ def test_first_copies(spark, monkeypatch):
     df = spark.createDataFrame([("t", "a", 1, 0), ("t", "a", 1, 5), ("t", None, 1, 1), ("t", None, 1, 2), ("u", "a", 1, 3), ("t", "a", 2, 4)], "table_name string, grp string, copy bigint, at bigint")
     for limit in (S.BROADCAST_ROWS, 0):
         monkeypatch.setattr(S, "BROADCAST_ROWS", limit)
-        assert sorted(r.at for r in S.first_copies(df).collect()) == [0, 1, 3, 4]
+        assert sorted(r.at for r in S.with_first(df).where("first").collect()) == [0, 1, 3, 4]
+
+
+def test_repair_of_repeated_rows_long_words_and_other_passages(spark):
+    text = "The brakc valve is sound and\nwas tested."
+    listed = "- item\n- other item\n- third 9\n\n- 4\nPage 3"
+    data = base() + [(1, "a", 1, 0, text, "x")] * 3 + [(2, "b", 1, 0, listed, "x")] * 2 + [(3, "c", 1, 0, None, "x")]
+    rows_ = S.repair(rows(spark, data), COMMON).where(F.col("row_id") < 1000).collect()
+    assert sorted((r.row_id, r.text, r.repaired) for r in rows_) == [(1, "The brake valve is sound and was tested.", True), (2, listed, False)]
+
+
+def test_long_header(spark):
+    title = "Depot Library of the Northern Division · SWI-00000001 · " + "Traction And Rolling Stock · " * 8 + "Volume"
+    assert len(title) > 250
+    got = found(spark, [(1, "c", 1, 0, title + "\n" + sentence(1), "x"), (2, "c", 2, 0, title + "\n" + sentence(77), "x")])
+    assert got == {1: {"header"}, 2: {"header"}}
+
+
+def test_context_decides(spark, monkeypatch):
+    """300 rare words look like a frequent form: half of them stand where the form stands and are misread, half stand
+    elsewhere and are words. Without context all are taken for misreadings."""
+    letters = "bcdfgjkpqrstvz"
+    stems = [a + "a" + b + "o" + c for a in letters[:8] for b in letters[:8] for c in letters[8:]][:300]
+    data = []
+    for i, stem in enumerate(stems):
+        form, rare = stem + "ehl", stem + "chl"
+        known = f"The guard of the train is at the {form} valve{i} and is in the coach. "
+        data += [(10_000 + 20 * i + j, "g", i, j, known * 11, "x") for j in range(4)]
+        odd = known.replace(form, rare) if i % 2 else f"Some {rare} sings in the wood{i} for the day and is in the hall. "
+        data += [(10_000 + 20 * i + 15, "g", i, 99, odd * 4, "x")]
+    data += [(900_000 + i, "h", i, 0, "Some old bird sings in the wood for the day and is in the hall. " * 10, "x") for i in range(200)]
+    every = S.judged(rows(spark, data), COMMON).where("prose")
+    count = lambda: {r.word for r in S.misread_words(every, COMMON).select("word").distinct().collect()}
+    want = {s + "chl" for i, s in enumerate(stems) if i % 2}
+    got = count()
+    assert len(got & want) > 140 and len(got - want) < 15
+    monkeypatch.setattr(S, "support", lambda *_: 0.0)
+    assert len(count()) > 290
+
+
+def test_mail_address(spark):
+    got = found(spark, [(1, "a", 1, 0, "The guard of the train is in the coach, write to va|ve@yard50 and to brake@yard6.", "x")])
+    assert got == {1: {"chars"}}
+
+
+def test_hot_passage_in_two_languages(spark):
+    text = "The brakc valve is in the coach. Le brakc est en la gare de Lyon et la gare est en fer."
+    fr = [(2000 + i, f"f{i}", 1, 0, "Le brake est en la gare de Lyon et la gare est en fer.", "x") for i in range(30)]
+    got = {r.row_id: r.text for r in S.repair(rows(spark, base() + fr + [(1, "a", 1, 0, text, "x")]), COMMON).where(F.col("row_id") < 1000).collect()}
+    assert got[1] == text.replace("brakc", "brake")
