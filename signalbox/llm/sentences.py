@@ -1,11 +1,14 @@
 """Sentence boundaries across languages and scripts (problem 10).
 
 Document-centred disambiguation. Whether a full stop after a word ends a sentence is told by what the same document
-says where it is not ambiguous: a word whose stop is followed by a word in lower case is an abbreviation, and a word
-with a capital in the middle of a sentence is a name. Where the document says nothing, the corpus does: words whose
-stops are mostly followed by lower case in all documents are abbreviations (their table is counted natively and small).
-Well-known titles and reference marks are listed, as their stops are always followed by capitals or numbers. Each
-script has its own terminators; Thai, which has none, ends a unit at a space.
+says where it is not ambiguous: a word whose stop is followed by a word in lower case is an abbreviation, one whose stop
+ends a paragraph can end a sentence, and a word with a capital in the middle of a sentence is a name. Where the document
+says nothing, the corpus does (``corpus_evidence``): every word before a stop is counted with what follows the stop, and a
+word whose stops end a paragraph, or precede a usual first word, far less often than those of other words is an
+abbreviation, of the kind that stands
+before names and numbers or of the kind that only lower case follows. There are no lists of abbreviations. Where the
+corpus is too small to tell, the word's shape decides: initials, words with stops inside, short words without a vowel,
+short words before a number. Each script has its own terminators; Thai, which has none, ends a unit at a space.
 
 Defined results
 ---------------
@@ -21,31 +24,27 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.llm.spread import spread
-
-#: A word is an abbreviation in the corpus if it has so many stops, and this share of them before lower case.
-MIN_STOPS, MIN_SHARE = 5, 0.5
-#: Abbreviations that the corpus may yield; more are refused rather than broadcast.
-MAX_ABBREVIATIONS = 200_000
-#: A paragraph of one line that begins like a list entry is one (or a numbered heading) up to so many characters.
-ENTRY_CHARS = 160
-
-# Abbreviations before names, numbers or words they belong to; they do not end a sentence.
-BEFORE_NAME = frozenset(
-    "mr mrs ms dr prof st sen rep gen col capt lt sgt rev hon messrs hr fr hrn frl dipl ing mag mme mlle mm me vve sr sra srta dra don "
-    "da dª ud uds excmo lic d. dott fig figs abb tab kap abs art nr no nos num núm nº p pp pág págs pag para paras sect ch chap vol "
-    "ed eds cf vgl siehe s z. bzw ca approx incl inkl exkl evtl ggf sog vs dept rev ref ex e.g i.e z.b d.h u.a o.ä p.ej c.-à-d p.ex cap "
-    "डॉ श्री श्रीमती पं प्रो कु सं نحو".split()
-)
-# Abbreviations that may also end a sentence; a capital after them begins a new one.
-MAY_END = frozenset("etc usw u.s.w usf a.m p.m ltd inc co corp jr sr.jr env aprox min max std jan feb apr jun jul aug sep sept oct okt nov dec dez bros".split())
+from signalbox.llm.spread import bounded_broadcast, spread
+from signalbox.session import cut
+
+#: An abbreviation's stops end a paragraph or precede a usual first word in at most this share of cases, and as many stops
+#: as it has would do so that seldom, if it were any other word, with at most this chance.
+MAX_ENDS, CHANCE = 0.01, 1e-4
+#: A usual first word opens paragraphs at least this many times as often as it follows stops (as shares of either).
+STARTS = 0.25
+#: A short word, or one with stops inside, ends sentences if its stops do so for certain in this share of cases.
+MIN_ENDS = 0.05
+#: Words of the corpus evidence (some 20 bytes each) that may be broadcast; more are joined to the texts.
+BROADCAST_WORDS = 200_000
+
 # Months, which follow an ordinal number.
 MONTHS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember january february march may june july october "
@@ -60,13 +59,25 @@ _STOPS = ".!?…。．！？｡؟।॥۔"
 _SIGNS = regex.compile(rf"[{_STOPS}]+|[{regex.escape(_OPEN + _CLOSE)}\"]|(?<=[\p{{Thai}}])[^\S\n]+\n?[^\S\n]*(?=\p{{L}})")
 _BLANK = regex.compile(r"\r?\n[^\S\n]*\n\s*")
 _ENTRY = regex.compile(r"[^\S\n]*(?:[-•*‣◦▪–]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))[^\S\n]+(?=\S)")
-_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.’'ªº-]*$")
 _WORD = regex.compile(r"[\p{L}\p{M}’'-]+")
-_CHINESE_TAIL = regex.compile(r"[\p{Han}]{0,12}?[说問问道喊叫答]")
-_LOWER_AFTER = regex.compile(r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]{1,10})\.\s+\p{Ll}")
+_PART = regex.compile(r"[\p{L}\p{M}\p{N}.’'ªº-]")
+_CHINESE_TAIL = regex.compile(r"[\p{Han}]*[说问道喊叫答](?!\p{Han})")
+_LOWER_AFTER = regex.compile(r"(?<![\p{L}\p{M}\p{N}.-])([\p{L}\p{M}\p{N}.ªº-]*+)(?<=[\p{L}\p{M}]\.)\s+\p{Ll}")
+_CLOSING = regex.compile(r"(?<![\p{L}\p{M}\p{N}.-])([\p{L}\p{M}\p{N}.ªº-]*+)(?<=[\p{L}\p{M}]\.)[^\S\n]*\r?\n[^\S\n]*\n")
+_NO_VOWEL = regex.compile(r"[bcdfghjklmnpqrstvwxzß]{1,4}")
 _NAME_INSIDE = regex.compile(r"\p{Ll}[,;]?\s+(\p{Lu}[\p{L}\p{M}’'-]+)")
 
 
+#: What is known of a word before a stop: it stands before names and numbers, stands inside sentences, or ends them.
+TITLE, INSIDE, ENDS = "title", "inside", "ends"
+
+
+def _key(word: str) -> str:
+    """A word before a stop as the evidence has it: in lower case, without the elision before it (l’art.)."""
+    low = word.lower().removesuffix(".").strip("-'’")
+    return regex.split("[’']", low)[-1] if "’" in low or "'" in low else low
+
+
 def _closed(stack: list[tuple[str, int]], sign: str) -> int | None:
     """The place in the stack that ``sign`` closes."""
     for i in range(len(stack) - 1, -1, -1):
@@ -76,17 +87,21 @@ def _closed(stack: list[tuple[str, int]], sign: str) -> int | None:
 
 
 class Segmenter:
-    """Finds the units of texts; ``abbreviations`` are those of the corpus, in lower case."""
+    """Finds the units of texts; ``evidence`` is that of the corpus: TITLE, INSIDE or ENDS by word in lower case."""
 
-    def __init__(self, abbreviations: frozenset[str] = frozenset()):
-        self.corpus = abbreviations
+    def __init__(self, evidence: Mapping[str, str] | None = None):
+        self.corpus = evidence or {}
 
-    def units(self, text: str | None) -> list[tuple[int, int]]:
-        """(start, end) of each unit."""
+    def units(self, text: str | None, evidence: Mapping[str, str] | None = None) -> list[tuple[int, int]]:
+        """(start, end) of each unit; ``evidence`` stands for that of the corpus if it comes with the text."""
         if not text or text.isspace():
             return []
-        self.here = {w.lower() for w in _LOWER_AFTER.findall(text)}
+        if evidence is not None:
+            self.corpus = evidence
+        self.here = {_key(w) for w in _LOWER_AFTER.findall(text)}
+        self.closing = {_key(w) for w in _CLOSING.findall(text)}
         self.names: set[str] | None = None
+        self.last_word = (-1, -1)
         self.text = text
         out, at = [], 0
         for gap in [*_BLANK.finditer(text), None]:
@@ -115,8 +130,8 @@ class Segmenter:
                 if _ENTRY.match(t, at + 1, b):
                     starts.append(at + 1)
                 at = t.find("\n", at + 1, b)
-            # A single entry of several lines or much text is a paragraph that begins with a dash or number.
-            if len(starts) > 1 or t.find("\n", a, b) < 0 and b - a <= ENTRY_CHARS:
+            # A single entry of several lines is a paragraph that begins with a dash or number.
+            if len(starts) > 1 or t.find("\n", a, b) < 0:
                 for x, y in zip(starts, [*starts[1:], b], strict=True):
                     self._add(x, y, out)
                 return
@@ -201,8 +216,7 @@ class Segmenter:
             return True
         if whole and opened not in "（([":
             # Words that follow the speech: a speaker and a verb of saying.
-            words = _WORD.findall(t[at : min(b, at + 60)])[:4]
-            if any(w in SPEECH for w in words[1:]) and n.isupper():
+            if n.isupper() and self._speaker(at, b):
                 return False
             # A text cut off in the speaker's name or the verb.
             rest = t[at:b].split()
@@ -212,6 +226,34 @@ class Segmenter:
                 return False
         return True
 
+    def _speaker(self, at: int, b: int) -> bool:
+        """Whether a verb of saying is among the second to fourth words, before any mark."""
+        for k, m in enumerate(_WORD.finditer(self.text, at, b)):
+            if k > 3 or k and not self.text[last:m.start()].isspace():
+                return False
+            if k and m.group() in SPEECH:
+                return True
+            last = m.end()
+        return False
+
+    def _word_start(self, i: int, begin: int) -> int:
+        """Where the run of letters, digits and joining marks before ``i`` begins; runs with many stops are walked once."""
+        t, j = self.text, i
+        while j > begin and _PART.match(t[j - 1]):
+            j -= 1
+            if j == self.last_word[0]:
+                j = max(begin, self.last_word[1])
+                break
+        self.last_word = (i, j)
+        return j
+
+    def _evidence(self, low: str) -> str | None:
+        """What document and corpus say of the stops of a word."""
+        known = self.corpus.get(low)
+        if low in self.here:
+            return known if known == TITLE else INSIDE
+        return ENDS if low in self.closing else known
+
     def _ends(self, sign: str, i: int, end: int, begin: int, b: int) -> bool:
         t, at = self.text, end
         while at < b and t[at].isspace():
@@ -233,16 +275,16 @@ class Segmenter:
 
     def _stop_ends(self, i: int, at: int, touching: bool, begin: int, b: int) -> bool:
         t, n = self.text, self.text[at]
-        word = _BEFORE.search(t, max(begin, i - 40), i).group().strip("-'’")
-        low = word.lower()
-        if "’" in low or "'" in low:  # what follows an elision: l’art.
-            low = regex.split("[’']", low)[-1]
+        start = self._word_start(i, begin)
+        word = t[start:i].strip("-'’")
+        low = _key(word)
         digits = low[-1:].isdigit()
         if touching:
             if n.isdigit() or n in "_@/-+=&%#\\":
                 return False
-            if digits or "." in low or len(low) < 2 or not word[-1].islower() and n.isascii() or low in BEFORE_NAME:
-                return not n.isascii() and n.isalpha() and len(low) > 1 and low not in BEFORE_NAME
+            short = self._evidence(low) in (TITLE, INSIDE)
+            if digits or "." in low or len(low) < 2 or not word[-1].islower() and n.isascii() or short:
+                return not n.isascii() and n.isalpha() and len(low) > 1 and not short
             return n.isalpha() or n in _OPEN + '"¿¡'
         if not low:
             return True
@@ -251,54 +293,102 @@ class Segmenter:
         follows = _WORD.match(t, at)
         after = follows.group().lower() if follows else ""
         if low.isdigit() or digits and low.rstrip("0123456789") == "":
-            if not t[begin : i - len(word)].strip():
+            if not t[begin:start].strip():
                 return False  # the number of a heading
             if after in MONTHS:
                 return False
-            before = _WORD.findall(t[max(begin, i - len(word) - 14) : i - len(word)])
-            return not (before and before[-1].lower() in ("am", "vom", "zum", "bis", "im", "der", "die", "das", "dem", "den", "des", "beim", "ab") and n.isupper())
-        if len(low) == 1:
-            # An initial, unless it is a unit after a number.
-            return "a" <= low <= "z" and t[max(begin, i - 2) : i - 1] == " " and t[max(begin, i - 3) : i - 2].isdigit() and n.isupper()
-        if low in BEFORE_NAME:
-            return False
-        if low in MAY_END:
-            return not n.isdigit() or low in ("etc", "usw", "a.m", "p.m")
-        if "." in low and len(low) <= 4:
+            at_word = start
+            while at_word > begin and t[at_word - 1].isspace():
+                at_word -= 1
+            before = t[self._word_start(at_word, begin) : at_word].lower()
+            return not (before in ("am", "vom", "zum", "bis", "im", "der", "die", "das", "dem", "den", "des", "beim", "ab") and n.isupper())
+        if len(low) == 1 and "a" <= low <= "z" and n.isupper() and t[max(begin, i - 2) : i - 1] == " " and t[max(begin, i - 3) : i - 2].isdigit():
+            return True  # a unit after a number
+        known = self._evidence(low)
+        if known == ENDS:
+            return True
+        if known == TITLE:
             return False
-        if low in self.here or low in self.corpus:
+        if known == INSIDE:
             if n.isdigit():
                 return False
             if self.names is None:
                 self.names = set(_NAME_INSIDE.findall(t))
             return not (follows and follows.group() in self.names)
-        return True
+        # Nothing is known: shapes of abbreviations.
+        if len(low) == 1 or "." in low or _NO_VOWEL.fullmatch(low):
+            return False
+        return not (n.isdigit() and len(low) <= 4)
+
+
+#: A word before a stop, and the word or sign after it or nothing at the end of the text; the first word of a paragraph.
+_STOPPED = r"(?<![\p{L}\p{M}\p{N}.’'ªº-])([\p{L}\p{M}\p{N}.’'ªº-]*+(?<=[\p{L}\p{M}]\.)(?:\s+(?:[\p{L}\p{M}]+|\S)|\s*$))"
+_OPENING = r"(?:\A|\n[^\S\n]*\n)\s*([\p{Lu}][\p{L}\p{M}]*)"
+
+
+def _stopped(text: Column) -> Column:
+    """(word, kind, next) of each word before a stop, as ``_key`` has it: the stop ends a paragraph, comes before lower
+    case, or before another sign or word, the ``next`` one."""
+    found = F.regexp_extract_all(text, F.lit(_STOPPED), 1)
+    word = lambda m: F.regexp_replace(F.lower(F.regexp_extract(m, r"^(.*?)\.(?:\s|$)", 1)), r"^.*['’](?=.)|^[-'’]+|[-'’]+$", "")
+    tail = F.transform(found, lambda m: F.struct(m.alias("m"), F.regexp_extract(m, r"\.((?:\s.*)?)$", 1).alias("tail")))
+    kind = lambda t: F.when(t.rlike(r"^\s*$|\n[^\S\n]*\n"), "end").when(t.rlike(r"^\s+\p{Ll}"), "low").otherwise("other")
+    return F.transform(tail, lambda x: F.struct(word(x["m"]).alias("word"), kind(x["tail"]).alias("kind"), F.when(kind(x["tail"]) == "other", F.trim(F.regexp_replace(x["tail"], r"\s+", " "))).alias("next")))
+
 
+def corpus_evidence(df: DataFrame, text_col: str) -> DataFrame:
+    """(word, verdict): what the stops of all texts say of a word, where they say anything.
 
-def corpus_abbreviations(df: DataFrame, text_col: str) -> frozenset[str]:
-    """Words of all texts whose stops are mostly followed by lower case."""
-    pattern = r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]{2,10}\.\s+[\p{Ll}\p{Lu}])"
-    seen = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 1)).alias("m"))
-    word, last = F.lower(F.regexp_extract("m", r"^([^.]+)\.", 1)), F.substring("m", -1, 1)
-    counted = seen.groupBy(word.alias("word")).agg(F.count("*").alias("n"), F.count_if(last == F.lower(last)).alias("low"))
-    kept = counted.where((F.col("n") >= MIN_STOPS) & (F.col("low") >= F.col("n") * MIN_SHARE)).select("word")
-    rows = kept.limit(MAX_ABBREVIATIONS + 1).collect()
-    if len(rows) > MAX_ABBREVIATIONS:
-        raise ValueError(f"more than {MAX_ABBREVIATIONS} abbreviations")
-    return frozenset(r.word for r in rows)
+    A text counts once for a word and what follows it, and the copies of a text count as one together. A stop before a
+    word that opens paragraphs about as often as it follows stops ends a sentence as well.
+    """
+    opening = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_OPENING), 1), lambda w: F.struct(F.lit("").alias("word"), F.lit("open").alias("kind"), w.alias("next")))
+    key = F.xxhash64(text_col)
+    again = cut(df.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    seen = df.select(key.alias("key"), F.array_distinct(F.concat(_stopped(F.col(text_col)), opening)).alias("x"))
+    seen = seen.join(bounded_broadcast(again, again.count(), BROADCAST_WORDS), "key", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), F.inline("x"))
+    counted = cut(seen.groupBy("word", "kind", "next").agg(F.sum("weight").alias("n")))
+    total = {r.kind: r.n for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    opens, stops = total.pop("open", 0.0), sum(total.values())
+    by = lambda k: F.sum(F.when(k, F.col("n")).otherwise(0.0))
+    words = counted.where(F.col("next").rlike(r"^\p{Lu}")).groupBy("next").agg(by(F.col("kind") == "open").alias("o"), by(F.col("kind") == "other").alias("f"))
+    starters = words.where((F.col("o") >= 3) & (F.col("o") * stops >= F.col("f") * opens * STARTS)).select("next", F.lit(True).alias("starts"))
+    marked = counted.where("kind <> 'open'").join(starters, "next", "left")
+    ends = (F.col("kind") == "end") | F.col("starts").isNotNull()
+    words = cut(marked.groupBy("word").agg(F.sum("n").alias("n"), by(ends).alias("ends"), by(F.col("kind") == "low").alias("low")))
+    cased = F.col("word").rlike(r"\p{Ll}")
+    # How often any word's stops end a sentence for certain, in scripts with and without case: two rows.
+    usual = {r.cased: r.ends / r.n for r in words.groupBy(cased.alias("cased")).agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")).collect()}
+    rate = lambda c: math.log(1 - min(usual.get(c, 0.0), 0.99))
+    seldom = F.col("n") * F.when(cased, rate(True)).otherwise(rate(False)) <= math.log(CHANCE)
+    few = F.col("ends") <= F.col("n") * MAX_ENDS
+    kind = F.when(few & seldom, F.when(F.col("n") - F.col("ends") - F.col("low") > F.col("n") * 0.05, TITLE).otherwise(INSIDE))
+    short = (F.length("word") <= 4) | F.contains("word", F.lit("."))
+    kind = kind.otherwise(F.when(short & (F.col("ends") >= 2) & (F.col("ends") >= F.col("n") * MIN_ENDS), ENDS))
+    return words.select("word", kind.alias("verdict")).where("verdict IS NOT NULL AND word <> ''")
 
 
 def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, start_pos, end_pos) of each unit of each text."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
-    known = df.sparkSession.sparkContext.broadcast(corpus_abbreviations(rows, "text"))
+    evidence = cut(corpus_evidence(rows, "text"))
+    shared = None
+    if evidence.count() <= BROADCAST_WORDS:
+        shared = df.sparkSession.sparkContext.broadcast({r.word: r.verdict for r in evidence.collect()})
+        rows = spread(rows)
+    else:  # each text takes along what is known of its own words
+        keyed = rows.withColumn("key", F.xxhash64("text"))
+        own = keyed.select("key", F.explode(F.array_distinct(F.transform(_stopped(F.col("text")), lambda x: x["word"]))).alias("word")).distinct()
+        own = own.join(evidence, "word").groupBy("key").agg(F.collect_list(F.struct("word", "verdict")).alias("evidence"))
+        rows = keyed.join(own, "key", "left").select("id", "text", "evidence")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Segmenter(known.value).units
+        units = Segmenter(shared.value if shared else None).units
         for batch in batches:
             take, starts, ends = [], [], []
+            known = [None] * len(batch) if shared else [{x["word"]: x["verdict"] for x in e or ()} for e in batch.column(2).to_pylist()]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for a, b in units(text):
+                for a, b in units(text, known[i]):
                     take.append(i)
                     starts.append(a)
                     ends.append(b)
@@ -306,4 +396,4 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "start_pos", "end_pos"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return spread(rows).mapInArrow(run, f"id {kind}, start_pos int, end_pos int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, start_pos int, end_pos int").withColumnRenamed("id", id_col)
