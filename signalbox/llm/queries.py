@@ -47,14 +47,14 @@ def _embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of passages in each other's lists of twenty with a cosine of at least 0.95."""
     reps, members = _embeddings(spark, d)
-    return vectors.expand_pairs(vectors.similar_lists(reps, 20, 0.95), members)
+    return vectors.similar_pairs(reps, members, 20, 0.95)
 
 
 def p5_lists(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty most similar vectors of every row whose id is divisible by 50, against all distinct vectors."""
+    """The twenty most similar rows of every row whose id is divisible by 50, against all rows."""
     reps, members = _embeddings(spark, d)
     asked = load(spark, d, "rag_chunks", "id").where(F.col("id") % 50 == 0)
-    return vectors.similar_to(reps, members, asked, 20).select("id", "other", "rank", F.round("cosine", 6).alias("cosine"))
+    return vectors.similar_rows(reps, members, asked, 20).select("id", "other", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ product with the code divided by the scalar; its error is bounded with high prob
 lower bound of the query, are reranked with the exact vectors.
 
 Every vector is stored in the nearest cell of a two-level tree of centroids, fitted on a bounded sample, and looks into
-its ``probes`` nearest cells; cells are cut into blocks of bounded size, so a crowded cell is many tasks and no task
+its nearest cells, the more the more there are (``probes_for``); cells are cut into blocks of bounded size, so a crowded cell is many tasks and no task
 or group grows with the data. Equal vectors are collapsed first to one representative (the smallest id).
 
 Defined results
@@ -22,7 +22,8 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,16 +37,18 @@ from signalbox.session import cut
 
 BITS = 128
 ERROR = 1.9
-#: Vectors, over all groups, on which the centroids are fitted (a sample by hash of the id); 25 MB at 64 dimensions.
-SAMPLE = 100_000
+#: Vectors, over all groups, on which the centroids are fitted (a sample by hash of the id): one in CELL / PER_CENTROID of
+#: them, but at least SAMPLE (25 MB at 64 dimensions) where there are so many, and at most MAX_SAMPLE.
+SAMPLE, MAX_SAMPLE = 100_000, 1_000_000
 #: Vectors wished in a cell, sample vectors needed for a centroid, and the most vectors of either side in a block.
 CELL, PER_CENTROID, BLOCK = 1_000, 16, 4_096
+#: Cells a vector looks into, at least; more where there are many leaves (half the root of their number).
 PROBES = 8
 _SEED = 20_240
 #: Ids (8 bytes) of candidates that may be broadcast.
 BROADCAST_IDS = 2_000_000
-#: Groups (model, length) that one run may have; each has a tree of its own.
-MAX_GROUPS = 1_000
+#: Cells (some 20 bytes each) whose numbers of blocks may be broadcast.
+BROADCAST_CELLS = 500_000
 
 
 def usable(vector: Column, length: Column) -> Column:
@@ -147,19 +150,24 @@ def estimate(four: np.ndarray, range_: np.ndarray, code: np.ndarray, scalar: np.
     return (q @ sign.T) / (np.sqrt(bits) * scalar), bound
 
 
-_CODED = "id bigint, slots array<int>, code binary, query binary"
+_CODED = "id bigint, slots array<bigint>, code binary, query binary"
 
 
-def code_vectors(vectors: DataFrame, trees: dict[int, Tree] | dict[int, None], probes: int) -> DataFrame:
+def probes_for(leaves: int) -> int:
+    """Cells that a vector looks into: a fixed number loses neighbours as the leaves grow finer."""
+    return max(PROBES, math.ceil(0.5 * leaves**0.5))
+
+
+def code_vectors(vectors: DataFrame, trees: dict[int, Tree]) -> DataFrame:
     """Codes of (grp, id, vec), with the slots (cells numbered over all groups) a vector looks into, its own first.
 
     A code is the packed signs and the scalar; a query the packed four-bit values, lowest and step: one binary value
-    each, as these rows are the bulk of what is shuffled. A group without a tree is one cell.
+    each, as these rows are the bulk of what is shuffled. A group without a tree is one cell, numbered by its hash.
     """
     first, at = {}, 0
     for g in sorted(trees):
         first[g] = at
-        at += len(trees[g].leaves) if trees[g] else 1
+        at += len(trees[g].leaves)
     shared = vectors.sparkSession.sparkContext.broadcast((trees, first))  # bounded by SAMPLE / PER_CENTROID centroids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,60 +180,99 @@ def code_vectors(vectors: DataFrame, trees: dict[int, Tree] | dict[int, None], p
                 flat = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
                 x = _unit(flat.reshape(len(at), d).astype(np.float64)).astype(np.float32)
                 code, scalar, four, range_ = encode(x)
-                cells = known[g].nearest(x, probes) if known[g] else np.zeros((len(at), 1), np.int64)
+                cells = known[g].nearest(x, probes_for(len(known[g].leaves))) + offset[g] if g in known else np.full((len(at), 1), g, np.int64)
                 joined = lambda *parts: np.concatenate([np.ascontiguousarray(p).view(np.uint8).reshape(len(at), -1) for p in parts], axis=1)  # noqa: B023, E731
                 fixed = lambda a: pa.FixedSizeBinaryArray.from_buffers(pa.binary(a.shape[1]), len(a), [None, pa.py_buffer(np.ascontiguousarray(a))]).cast(pa.binary())
                 offsets = pa.array(np.arange(len(at) + 1) * cells.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel() + offset[g], pa.int32())), fixed(joined(code, scalar)), fixed(joined(four, range_))],
+                    [ids.take(pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel(), pa.int64())), fixed(joined(code, scalar)), fixed(joined(four, range_))],
                     names=["id", "slots", "code", "query"],
                 )
 
     return vectors.select("grp", "id", "vec").mapInArrow(run, _CODED)
 
 
-def candidates(coded: DataFrame, asked: DataFrame | None, k: int, min_cosine: float | None) -> DataFrame:
-    """(id, other) pairs that the codes cannot rule out, for the ids in ``asked`` (all by default)."""
-    base = coded.select(F.col("slots")[0].alias("slot"), "id", "code")
-    asks = coded if asked is None else coded.join(asked, "id", "left_semi")
-    asks = asks.select(F.explode("slots").alias("slot"), "id", "query")
-    # Blocks of each cell: as many as its rows need, on either side. A block's key holds the slot and both numbers.
+def _raw(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def meet(base: DataFrame, asks: DataFrame, run: Callable[..., tuple[np.ndarray, ...]], schema: str, extra: Sequence[str] = ()) -> DataFrame:
+    """What ``run`` yields of each block of (slot, id, code) and of (slot, id, query, extra) that share a slot.
+
+    Each cell is cut into as many blocks as its rows need, on either side. ``run`` gets, for some queries at a time,
+    their rows, the ids of the block, the estimates and their bounds, and gives the columns of ``schema``.
+    """
     blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("bigint")
     n_base = base.groupBy("slot").agg(F.count("*").alias("nb"))
     n_asks = asks.groupBy("slot").agg(F.count("*").alias("nq"))
-    sizes = n_base.join(n_asks, "slot").select("slot", blocks("nb").alias("nb"), blocks("nq").alias("nq"))
-    fits = F.greatest("nb", "nq") < 1 << 16
-    plan = F.broadcast(sizes.withColumn("nb", F.when(fits, F.col("nb")).otherwise(F.raise_error(F.lit("a cell has too many blocks")).cast("bigint"))))  # a row per centroid
+    sizes = cut(n_base.join(n_asks, "slot").select("slot", blocks("nb").alias("nb"), blocks("nq").alias("nq")))
+    plan = bounded_broadcast(sizes, sizes.count(), BROADCAST_CELLS)
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    key = (F.col("slot").cast("bigint") * (1 << 32) + F.col("bb") * (1 << 16) + F.col("qb")).alias("key")
-    left = base.join(plan, "slot").select("slot", at("nb").alias("bb"), span("nq").alias("qb"), "id", "code").select(key, "id", "code")
-    right = asks.join(plan, "slot").select("slot", span("nb").alias("bb"), at("nq").alias("qb"), "id", "query")
+    left = base.join(plan, "slot").select("slot", at("nb").alias("bb"), span("nq").alias("qb"), "id", "code")
+    right = asks.join(plan, "slot").select("slot", span("nb").alias("bb"), at("nq").alias("qb"), "id", "query", *extra)
     # Both sides come from one table; new names keep their columns apart.
-    right = right.select(key.alias("q_key"), F.col("id").alias("q_id"), "query")
+    right = right.select(*[F.col(c).alias(f"q_{c}") for c in ("slot", "bb", "qb", "id", "query", *extra)])
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def meet(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def block(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(q):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
-        raw = lambda s: np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1)
-        packed, bid = raw(b["code"]), b["id"].to_numpy(np.int64)
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+        packed, bid = _raw(b["code"]), b["id"].to_numpy(np.int64)
         code, scalar = np.ascontiguousarray(packed[:, :-4]), np.ascontiguousarray(packed[:, -4:]).view(np.float32)[:, 0]
-        ids, others = [], []
+        found = []
         for a in range(0, len(q), 1024):
             part = q.iloc[a : a + 1024]
-            qid, asked_ = part["q_id"].to_numpy(np.int64), raw(part["query"])
-            est, bound = estimate(np.ascontiguousarray(asked_[:, :-8]), np.ascontiguousarray(asked_[:, -8:]).view(np.float32), code, scalar)
-            high = est + bound
-            keep = (qid[:, None] != bid) if min_cosine is None else (high >= min_cosine) & (qid[:, None] != bid)
-            if min_cosine is None and len(bid) > k + 1:
-                low = np.where(qid[:, None] != bid, est - bound, -9)
-                keep &= high >= np.partition(low, len(bid) - k, axis=1)[:, len(bid) - k, None]
-            i, j = np.nonzero(keep)
-            ids.append(qid[i])
-            others.append(bid[j])
-        return pd.DataFrame({"id": np.concatenate(ids), "other": np.concatenate(others)})
+            asked = _raw(part["q_query"])
+            est, bound = estimate(np.ascontiguousarray(asked[:, :-8]), np.ascontiguousarray(asked[:, -8:]).view(np.float32), code, scalar)
+            found.append(run(part, bid, est, bound))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*found, strict=True), strict=True)})
+
+    return left.groupBy("slot", "bb", "qb").cogroup(right.groupBy("q_slot", "q_bb", "q_qb")).applyInPandas(block, schema)
+
+
+def candidates(coded: DataFrame, k: int, min_cosine: float | None) -> DataFrame:
+    """(id, other) pairs that share a cell and that the codes cannot rule out."""
+
+    def run(part: pd.DataFrame, bid: np.ndarray, est: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        qid, high = part["q_id"].to_numpy(np.int64), est + bound
+        other = qid[:, None] != bid
+        keep = other if min_cosine is None else (high >= min_cosine) & other
+        if min_cosine is None and len(bid) > k + 1:
+            low = np.where(other, est - bound, -9)
+            keep = keep & (high >= np.partition(low, len(bid) - k, axis=1)[:, len(bid) - k, None])
+        i, j = np.nonzero(keep)
+        return qid[i], bid[j]
+
+    base = coded.select(F.col("slots")[0].alias("slot"), "id", "code")
+    return meet(base, coded.select(F.explode("slots").alias("slot"), "id", "query"), run, "id bigint, other bigint")
+
+
+def best_estimates(base: DataFrame, asks: DataFrame, k: int) -> DataFrame:
+    """(id, other): for each query the k others with the largest estimates; at most k rows leave a block for a query."""
 
-    return left.groupBy("key").cogroup(right.groupBy("q_key")).applyInPandas(meet, "id bigint, other bigint")
+    def run(part: pd.DataFrame, bid: np.ndarray, est: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, ...]:
+        qid = part["q_id"].to_numpy(np.int64)
+        est = np.where(qid[:, None] != bid, est, -9)
+        j = np.argpartition(est, -k, axis=1)[:, -k:] if len(bid) > k else np.tile(np.arange(len(bid)), (len(qid), 1))
+        near = np.take_along_axis(est, j, 1)
+        keep = near.ravel() > -9
+        return np.repeat(qid, j.shape[1])[keep], bid[j].ravel()[keep], near.ravel()[keep].astype(np.float64)
+
+    found = meet(base, asks, run, "id bigint, other bigint, est double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("est"), "other")))
+    return ranked.where(F.col("rank") <= k).select("id", "other")
+
+
+def above(base: DataFrame, asks: DataFrame) -> DataFrame:
+    """(id, other): the pairs whose bound reaches the query's own ``least`` cosine."""
+
+    def run(part: pd.DataFrame, bid: np.ndarray, est: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        qid = part["q_id"].to_numpy(np.int64)
+        i, j = np.nonzero((est + bound >= part["q_least"].to_numpy()[:, None]) & (qid[:, None] != bid))
+        return qid[i], bid[j]
+
+    return meet(base, asks, run, "id bigint, other bigint", ["least"])
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -247,25 +294,23 @@ def prepare(df: DataFrame, id_col: str, vec_col: str, length_col: str, groups: l
 
 
 def fit_trees(reps: DataFrame) -> dict[int, Tree]:
-    """A tree for each group, from a sample of SAMPLE vectors in all."""
-    sizes = {r.grp: r.n for r in reps.groupBy("grp").agg(F.count("*").alias("n")).limit(MAX_GROUPS + 1).collect()}
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups of vectors")
-    total = sum(sizes.values())
-    share = min(1.0, SAMPLE / max(total, 1))
-    picked = reps.where(F.pmod(F.xxhash64("id", F.lit(_SEED)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).limit(SAMPLE * 2)
-    rows = picked.select("grp", "vec").toArrow()
-    grp, out = rows.column("grp").to_numpy(), {}
-    vec = rows.column("vec").combine_chunks()
-    for g, n in sizes.items():
-        at = np.flatnonzero(grp == g)
-        if len(at):
-            flat = vec.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            out[g] = fit_tree(_unit(flat.reshape(len(at), -1)).astype(np.float32), n)
-        else:  # a group too small to be in the sample is one cell
-            dim = reps.where(F.col("grp") == g).select(F.size("vec").alias("d")).first().d
-            point = np.eye(1, dim, dtype=np.float32)
-            out[g] = Tree(point, point, np.array([0, 1]))
+    """A tree for each group with enough vectors in the sample; the groups without one are a cell each."""
+    total = reps.count()
+    share = min(1.0, min(max(SAMPLE, total * PER_CENTROID // CELL), MAX_SAMPLE) / max(total, 1))
+    least = F.lit(min(int(-(2.0**63) + share * 2.0**64), 2**63 - 1))
+    rows = reps.where(F.xxhash64("id", F.lit(_SEED)) <= least).limit(MAX_SAMPLE * 2).select("grp", "vec").toArrow()
+    grp, vec, out = rows.column("grp").to_numpy(), rows.column("vec").combine_chunks(), {}
+    seen, counts = np.unique(grp, return_counts=True)
+    large = [int(g) for g, n in zip(seen, counts, strict=True) if n >= 4 * PER_CENTROID]  # at most MAX_SAMPLE / 32
+    if not large:
+        return out
+    known = reps.sparkSession.createDataFrame([(g,) for g in large], "grp bigint")
+    sizes = reps.select("grp").join(F.broadcast(known), "grp").groupBy("grp").agg(F.count("*").alias("n"))
+    for g, n in ((r.grp, r.n) for r in sizes.collect()):
+        flat = vec.take(pa.array(np.flatnonzero(grp == g))).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        tree = fit_tree(_unit(flat.reshape(int((grp == g).sum()), -1)).astype(np.float32), n)
+        if len(tree.leaves) > 1:
+            out[g] = tree
     return out
 
 
@@ -287,34 +332,66 @@ def rerank(pairs: DataFrame, reps: DataFrame, k: int, min_cosine: float | None,
     return ranked.where(F.col("rank") <= k)
 
 
-def similar_lists(reps: DataFrame, k: int = 20, min_cosine: float | None = None, probes: int = PROBES) -> DataFrame:
+def similar_lists(reps: DataFrame, k: int = 20, min_cosine: float | None = None) -> DataFrame:
     """(id, other, cosine, rank): for every representative its k most similar others (of those over ``min_cosine``)."""
-    coded = cut(code_vectors(spread(reps), fit_trees(reps), probes))
-    return rerank(candidates(coded, None, k, min_cosine), reps, k, min_cosine, both_ways=True)
+    coded = cut(code_vectors(spread(reps), fit_trees(reps)))
+    return rerank(candidates(coded, k, min_cosine), reps, k, min_cosine, both_ways=True)
+
 
+def _exact(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, other, cosine) of (id, other); the vectors of queries go to those of the others, which move once."""
+    asked = pairs.select("id").distinct().join(reps.select("id", F.col("vec").alias("va")), "id")
+    other = reps.select(F.col("id").alias("other"), F.col("vec").alias("vb"))
+    return pairs.join(asked, "id").join(other, "other").select("id", "other", _cosine(F.col("va"), F.col("vb")).alias("cosine"))
 
-def similar_to(reps: DataFrame, members: DataFrame, asked: DataFrame, k: int = 20) -> DataFrame:
-    """(id, other, cosine, rank): for each id in ``asked`` the k most similar of all other distinct vectors.
 
-    The stated query set meets all codes in blocks; nothing is left out, so only the codes' error bound can lose a
-    neighbour. An id whose vector is shared gets the list of its representative.
+def similar_to(reps: DataFrame, asked: DataFrame, k: int = 20) -> DataFrame:
+    """(id, other, cosine, rank): for each representative in ``asked`` the k most similar of all others.
+
+    The stated query set meets all codes in blocks, twice. First the k best estimates of each query are reranked; their
+    least exact cosine is one that the list surely reaches. Then all pairs whose bound reaches it are candidates. Nothing
+    is left out, so only the codes' error bound can lose a neighbour.
     """
-    own = reps.select("id").join(asked.select("id"), "id", "left_semi").select("id", F.col("id").alias("rep"))
-    shared = members.join(asked.select("id"), "id", "left_semi").where("id <> rep").select("id", "rep")
-    mine = cut(own.unionAll(shared))
-    groups = {r.grp: None for r in reps.select("grp").distinct().limit(MAX_GROUPS + 1).collect()}
-    coded = cut(code_vectors(spread(reps), groups, 1))
-    lists = rerank(candidates(coded, mine.select(F.col("rep").alias("id")).distinct(), k, None), reps, k, None, both_ways=False)
-    return mine.join(lists.withColumnRenamed("id", "rep"), "rep").select("id", "other", "cosine", "rank")
-
-
-def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of representatives spread over the rows that share their vectors, and the pairs
-    inside each class. For results whose rows have a bounded number of partners."""
-    of = lambda c: members.select(F.col("rep").alias(c), F.col("id").alias(f"__{c}"))
-    between = (
-        pairs.select("id", "other").join(of("id"), "id", "left").join(of("other"), "other", "left")
-        .select(F.coalesce("__id", "id").alias("a"), F.coalesce("__other", "other").alias("b"))
-    )
-    inside = members.alias("x").join(members.alias("y"), "rep").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return between.unionAll(inside).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).where("id_a < id_b").distinct()
+    coded = cut(code_vectors(spread(reps), {}))
+    base = coded.select(F.col("slots")[0].alias("slot"), "id", "code")
+    asks = cut(coded.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("slots")[0].alias("slot"), "id", "query"))
+    first = _exact(best_estimates(base, asks, k), reps).groupBy("id").agg(F.min("cosine").alias("least"), F.count("*").alias("n"))
+    # Rounding of a cosine of single precision; a query with fewer than k others takes them all.
+    first = cut(first.select("id", F.when(F.col("n") >= k, F.col("least") - 1e-6).otherwise(-9.0).alias("least")))
+    exact = _exact(cut(above(base, asks.join(first, "id"))), reps)
+    ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def member_lists(ranked: DataFrame, reps: DataFrame, members: DataFrame, asked: DataFrame | None = None, k: int = 20) -> DataFrame:
+    """(id, other, cosine, rank): the lists of rows from those of representatives: the rows that share a vector are each
+    other's nearest, and every listed representative stands for all rows that share its vector.
+
+    A list needs at most the k + 1 smallest ids of a class, so a vector shared by a third of all rows costs no more than
+    any other: its rows all take the same k + 1 entries and leave themselves out.
+    """
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1)
+    first = cut(first.select("rep", F.col("id").alias("member")))
+    own = first.select("rep", F.col("member").alias("other"), F.lit(1.0).alias("cosine"))
+    theirs = ranked.select(F.col("id").alias("asker"), F.col("other").alias("rep"), "cosine").join(first, "rep", "left")
+    entries = own.unionAll(theirs.select(F.col("asker").alias("rep"), F.coalesce("member", "rep").alias("other"), "cosine"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k + 1)
+    lists = entries.groupBy("rep").agg(best.alias("entries"))  # at most (k + 1) ** 2 entries before the cut
+    rows = reps.select(F.col("id").alias("rep"), "id").join(members.select("id"), "id", "left_anti").select("rep", "id").unionAll(members.select("rep", "id"))
+    if asked is not None:
+        rows = rows.join(asked.select("id").distinct(), "id", "left_semi")
+    mine = rows.join(lists, "rep").select("id", F.slice(F.filter("entries", lambda x: x["other"] != F.col("id")), 1, k).alias("e"))
+    return mine.select("id", F.posexplode("e").alias("pos", "x")).select("id", F.col("x.other").alias("other"), (-F.col("x.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
+
+
+def similar_rows(reps: DataFrame, members: DataFrame, asked: DataFrame, k: int = 20) -> DataFrame:
+    """(id, other, cosine, rank): for each id in ``asked`` the k most similar of all other rows."""
+    wanted = asked.select("id").distinct()
+    mine = reps.select("id").join(wanted, "id", "left_semi").unionAll(members.join(wanted, "id", "left_semi").select(F.col("rep").alias("id")))
+    return member_lists(cut(similar_to(reps, mine, k)), reps, members, asked, k)
+
+
+def similar_pairs(reps: DataFrame, members: DataFrame, k: int, min_cosine: float) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: the pairs of rows in the lists of k, of a cosine of at least ``min_cosine``."""
+    lists = member_lists(cut(similar_lists(reps, k, min_cosine)), reps, members, None, k)
+    return lists.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
