@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from signalbox.llm import collapse as C
@@ -16,17 +17,17 @@ def test_canonical_forms(spark):
     assert canon(spark, None, "", " ?!", "straße", "STRASSE")[:3] == [None, None, None] and len(set(canon(spark, "straße", "STRASSE"))) == 1
 
 
-def run(spark, rows, segments=C.SEGMENTS):
+def run(spark, rows, sized=None):
     df = spark.createDataFrame(rows, "id bigint, question string, canonical string, class_id int")
-    classes, members, singles = C.collapse(df, "id", "question", segments)
+    classes, members, singles = C.collapse(df, "id", "question", sized)
     return {r.class_id: r.copies for r in classes.collect()}, sorted((tuple(r) for r in members.collect()), key=str), {r.class_id for r in singles.collect()}
 
 
 def test_classes_members_singles(spark):
     rows = [(5, "A b?"), (2, "a  B"), (9, "c"), (9, "c"), (7, None), (8, "..."), (None, "d"), (None, "D")]
     rows = [(*r, "x", 0) for r in rows]
-    for segments in (1, 256):
-        classes, members, singles = run(spark, rows, segments)
+    for sized in (None, 1, 2_000_000):
+        classes, members, singles = run(spark, rows, sized)
         assert classes == {2: 2, None: 2} and members == [(2, 2), (2, 5), (None, None), (None, None)] and singles == {9}
 
 
@@ -36,10 +37,35 @@ def test_exact_whatever_the_filter(spark):
     for i, q, *_ in rows:
         want.setdefault(q, []).append(i)
     pairs = {(min(v), x) for v in want.values() if len(v) > 1 for x in v}
-    for segments in (1, 64):
-        classes, members, singles = run(spark, rows, segments)
+    for sized in (1, 500_000):
+        classes, members, singles = run(spark, rows, sized)
         assert set(members) == pairs and singles == {v[0] for v in want.values() if len(v) == 1}
 
 
 def test_empty(spark):
     assert run(spark, []) == ({}, [], set())
+
+
+def test_sizes():
+    assert C.sizes(0) == (1, 1) and C.sizes(1_000_000) == (1, 128) and C.sizes(10**9)[1] == C.MAX_SEGMENTS
+    for rows in (10**6, 10**9, 10**11):
+        ranges, segments = C.sizes(rows)
+        assert ranges * segments * C.SEGMENT_BITS >= rows * C.BITS_PER_ROW * 0.99 and segments <= C.MAX_SEGMENTS
+
+
+def test_ranges_of_hashes(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_SEGMENTS", 1)
+    rows = [(i, f"Q {i % 700}" if i % 2 else f"q, {i % 500}!", "", 0) for i in range(2000)]
+    want = {}
+    for i, q, *_ in rows:
+        want.setdefault(q.lower().replace(",", "").replace("!", ""), []).append(i)
+    classes, members, singles = run(spark, rows, 30_000)
+    assert C.sizes(30_000)[0] > 2
+    assert set(members) == {(v[0], x) for v in want.values() if len(v) > 1 for x in v} and singles == {v[0] for v in want.values() if len(v) == 1}
+
+
+def test_packed_bits_round_trip():
+    bits = np.zeros(C.SEGMENT_BITS // 8, np.uint8)
+    for at in ([], [0, 7, 8, 65_535], list(range(0, 65_536, 3))):
+        C._set(bits, np.array(at, np.int64))
+        assert C._get(bits, np.array(at, np.int64)).all() and (C._unpack(C._pack(bits)) == bits).all()
