@@ -19,8 +19,9 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,21 +77,31 @@ def direct_orphans(relations: dict[str, Relation], edges: Sequence[Edge]) -> Dat
     return reduce(DataFrame.unionAll, found).groupBy("table_name", "row_key").agg(F.min("period").alias("period"))
 
 
-def orphan_cascade(relations: dict[str, Relation], edges: Sequence[Edge], max_levels: int = 64) -> DataFrame:
+def _projected(relations: dict[str, Relation], edges: Sequence[Edge]) -> dict[str, Relation]:
+    """The relations with no more columns than the graph needs, cut once, as every level reads them."""
+    out = {}
+    for name, r in relations.items():
+        own = [(e.key, e.until) for e in edges if e.child == name] + [(e.parent_key, e.born) for e in edges if e.parent == name]
+        columns = dict.fromkeys([r.row_id, r.period, *(c for pair in own for c in pair if c)])
+        out[name] = replace(r, rows=cut(r.rows.select(*columns)))
+    return out
+
+
+def orphan_cascade(relations: dict[str, Relation], edges: Sequence[Edge]) -> DataFrame:
     """(table_name, row_key, period, kind, level): direct orphans and all that inherit from them.
 
     Every round semi-joins the frontier's keys with the children of its tables, removes the rows already
     known and stops when none are left. The frontier shrinks to nothing because rows are finite and never
-    re-enter; cycles in the graph are therefore safe. ``max_levels`` is a guard against a graph deeper than
-    any that was declared and raises rather than dropping rows.
+    re-enter; cycles in the graph are therefore safe, and chains may be as deep as they are.
     """
+    relations = _projected(relations, edges)
     known = cut(
         direct_orphans(relations, edges).select(
             "table_name", "row_key", "period", F.lit("direct").alias("kind"), F.lit(0).alias("level")
         )
     )
     levels, frontier = [known], known
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         steps = []
         for e in edges:
             child, parent = relations[e.child], relations[e.parent]
@@ -121,7 +132,7 @@ def orphan_cascade(relations: dict[str, Relation], edges: Sequence[Edge], max_le
         if frontier.isEmpty():
             return reduce(DataFrame.unionAll, levels)
         levels.append(frontier)
-    raise RuntimeError(f"orphans still spread after {max_levels} levels")
+    raise AssertionError("unreachable")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

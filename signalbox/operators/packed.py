@@ -24,51 +24,50 @@ _ANY = HARD + ",/·"
 #: Quotes that may enclose a value: (opening, closing).
 QUOTES = (('"', '"'), ("'", "'"), ("“", "”"), ("«", "»"), ("„", "“"), ("‹", "›"))
 
-_MARK = "\ue000\ue001"  # stands for an enclosing quote; made of private-use characters
-_TWICE = ""
+# Marks that stand for an enclosing quote and for a comma that separates nothing. They begin with a sign that is doubled
+# where the text itself holds it, so no text can be taken for a mark and none is lost.
+_SIGN = "\ue000"
+_ITSELF, _QUOTE, _COMMA = _SIGN + "\ue001", _SIGN + "\ue002", _SIGN + "\ue003"
 
-
-_GAP = r"[^\S\t\n\r]{0,64}"  # space that is no separator itself
+_GAP = r"[^\S\t\n\r]*+"  # space that is no separator itself
+_START = rf"(?<=^|[{_ANY}]){_GAP}"
 
 
 def _enclosed() -> str:
-    """A regex for one enclosed value: it opens at the start of a piece and closes at its end."""
-    start = rf"(?<=(?:^\s{{0,64}}|[{_ANY}]){_GAP})"
-    ends = rf"(?:\s*+$|[^\S\t\n\r]*+[{_ANY}])"
+    """A regex for one enclosed value: it opens at the start of a piece and closes at its end. Its groups are, for each
+    kind of quotes, the opening one and what is inside."""
+    ends = rf"(?:\s*+$|{_GAP}[{_ANY}])"
     forms = []
     for a, b in QUOTES:
         if a == b:
             inner = rf"[^{a}]*+(?:(?:{a}{a}|{a}(?!{ends}))[^{a}]*+)*+"
         else:
             inner = rf"[^{b}]*+(?:{b}(?!{ends})[^{b}]*+)*+"
-        forms.append(rf"{a}({inner}){b}(?={ends})")
-    return f"{start}(?:{'|'.join(forms)})"
+        forms.append(rf"({a})({inner}){b}(?={ends})")
+    return f"{_START}(?:{'|'.join(forms)})"
 
 
-#: A comma is part of a number when digits stand on both sides and the digits before it begin the piece;
-#: a slash or middle dot separates only with space, an edge or another mark beside it.
-_SEPARATOR = (
-    rf"[{HARD}]"
-    rf"|,(?!(?<=(?:^\s{{0,64}}|[{_ANY}]){_GAP}\d{{1,9}},)\d)"
-    rf"|(?:(?<=^|\s|[{_ANY}])[/·]|[/·](?=\s|$|[{_ANY}]))"
-)
+#: A comma is part of a number when digits stand on both sides and the digits before it begin the piece.
+_DECIMAL = rf"({_START}\d++),(?=\d)"
+#: A slash or middle dot separates only with space, an edge or another mark beside it.
+_SEPARATOR = rf"[{HARD},]|(?:(?<=^|\s|[{_ANY}])[/·]|[/·](?=\s|$|[{_ANY}]))"
 
 
 def pieces(text: Column) -> Column:
     """The values of one packed field, as an array in the field's order."""
-    clean = F.regexp_replace(text, "[]", "")
-    groups = "".join(f"${i + 1}" for i in range(len(QUOTES)))
-    marked = F.regexp_replace(clean, _enclosed(), f"{_MARK}{groups}{_MARK}")
-    runs = F.split(marked, _MARK)
-    # Odd runs are literals. A doubled straight quote inside one stands for one quote.
-    literal = lambda s: F.replace(F.replace(s, F.lit('""'), F.lit('"')), F.lit("''"), F.lit("'"))
-    values = F.flatten(
-        F.transform(
-            runs,
-            lambda run, i: F.when(i % 2 == 1, F.array(literal(run))).otherwise(F.split(run, _SEPARATOR)),
-        )
-    )
-    trimmed = F.transform(values, lambda v: F.regexp_replace(v, r"(?U)^\s++|(?<!\s)\s++$", ""))
+    marked = F.replace(text, F.lit(_SIGN), F.lit(_ITSELF))
+    groups = "".join(f"${i + 1}" for i in range(2 * len(QUOTES)))  # those of other kinds are empty
+    marked = F.regexp_replace(marked, _enclosed(), f"{_QUOTE}{groups}{_QUOTE}")
+    runs = F.split(marked, _QUOTE)
+
+    def literal(run: Column) -> Column:
+        """What an odd run holds after its quote; of straight quotes, the enclosing one doubled stands for one."""
+        quote, rest = F.substring(run, 1, 1), F.substring(run, F.lit(2), F.length(run))
+        return F.when(quote == '"', F.replace(rest, F.lit('""'), F.lit('"'))).when(quote == "'", F.replace(rest, F.lit("''"), F.lit("'"))).otherwise(rest)
+
+    divided = lambda run: F.transform(F.split(F.regexp_replace(run, _DECIMAL, f"$1{_COMMA}"), _SEPARATOR), lambda v: F.replace(v, F.lit(_COMMA), F.lit(",")))
+    values = F.flatten(F.transform(runs, lambda run, i: F.when(i % 2 == 1, F.array(literal(run))).otherwise(divided(run))))
+    trimmed = F.transform(values, lambda v: F.replace(F.regexp_replace(v, r"(?U)^\s++|(?<!\s)\s++$", ""), F.lit(_ITSELF), F.lit(_SIGN)))
     return F.filter(trimmed, lambda v: v != "")
 
 

@@ -109,6 +109,23 @@ SELECT 'documents', CAST(d.doc_id AS VARCHAR), coalesce(strftime(d.upload_date,
 FROM documents d LEFT JOIN rag_documents r ON d.filename = r.source WHERE d.filename IS NOT NULL AND r.source IS NULL
 """
 
+_P4_CASCADE = f"""
+WITH RECURSIVE direct AS (SELECT DISTINCT * FROM ({_P4_DIRECT})),
+months AS (SELECT source, coalesce(strftime(max(indexed_at), '%Y-%m'), 'unknown') AS period FROM rag_documents GROUP BY source),
+links AS (
+  SELECT 'rag_chunks' AS child, CAST(c.id AS VARCHAR) AS child_key, coalesce(m.period, 'unknown') AS period, 'documents' AS parent, CAST(d.doc_id AS VARCHAR) AS parent_key
+  FROM rag_chunks c JOIN documents d ON d.doc_id = c.document_id LEFT JOIN months m ON m.source = c.source
+  UNION ALL SELECT 'rag_chunks', CAST(c.id AS VARCHAR), m.period, 'rag_documents', c.source FROM rag_chunks c JOIN months m ON m.source = c.source
+  UNION ALL SELECT 'rag_documents', r.source, coalesce(strftime(r.indexed_at, '%Y-%m'), 'unknown'), 'documents', CAST(d.doc_id AS VARCHAR) FROM rag_documents r JOIN documents d ON d.filename = r.source
+  UNION ALL SELECT 'documents', CAST(d.doc_id AS VARCHAR), coalesce(strftime(d.upload_date, '%Y-%m'), 'unknown'), 'rag_documents', r.source FROM documents d JOIN rag_documents r ON d.filename = r.source
+),
+reached AS (
+  SELECT table_name, row_key, period, 0 AS level FROM direct
+  UNION SELECT l.child, l.child_key, l.period, r.level + 1 FROM reached r JOIN links l ON l.parent = r.table_name AND l.parent_key = r.row_key WHERE r.level < 8
+),
+least AS (SELECT table_name, row_key, min(period) AS period, min(level) AS level FROM reached GROUP BY 1, 2)
+"""
+
 _P6 = """
 WITH raw AS (
   SELECT 'page_hits' AS series, id, lower(trim(name)) AS entity, coalesce(day, CAST("at" AS DATE)) AS day FROM usage_page_hits
@@ -124,6 +141,9 @@ rolled AS (SELECT *, sum(n) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS
 
 SQL = {
     "p4_found": _P4_DIRECT,
+    "p4_cascade": _P4_CASCADE + "SELECT table_name, row_key, period, CASE WHEN level = 0 THEN 'direct' ELSE 'inherited' END AS kind, CAST(level AS INTEGER) AS level FROM least",
+    "p4_report": _P4_CASCADE
+    + "SELECT table_name, period, CAST(count(*) FILTER (WHERE level = 0) AS BIGINT) AS direct, CAST(count(*) FILTER (WHERE level > 0) AS BIGINT) AS inherited FROM least GROUP BY 1, 2",
     "p6_found": _P6 + "SELECT series, entity, strftime(day, '%Y-%m-%d') AS day FROM rolled WHERE t7 = 0 AND t30 <> 0",
     "p6_totals": _P6
     + "SELECT series, entity, strftime(day, '%Y-%m-%d') AS day, CAST(n AS BIGINT) AS n, CAST(t7 AS BIGINT) AS total_7, round(t7 / CAST(7 AS DOUBLE), 6) AS avg_7, CAST(t30 AS BIGINT) AS total_30, round(t30 / CAST(30 AS DOUBLE), 6) AS avg_30 FROM rolled",

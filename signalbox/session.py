@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,7 @@ def get_spark(app: str = "signalbox", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     } | conf
     for key, value in defaults.items():
@@ -26,7 +30,11 @@ def get_spark(app: str = "signalbox", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set here only where the session has none (tests on one machine)."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only where everything runs on one machine, as in tests, and none is named, a temporary folder serves, which goes when
+    the program ends; a cluster without a shared folder is refused.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -35,17 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"signalbox-{os.getpid()}-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix=f"signalbox-{os.getpid()}-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
+    name = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder; it is removed when nothing refers to
+    it any more (``get_spark`` sets the cleaner so)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def parallel(df: DataFrame, spark: SparkSession) -> int:
-    """Partitions for a compute-heavy Python stage: a few for every core, never fewer than the scan has."""
-    return max(spark.sparkContext.defaultParallelism * 2, 8)

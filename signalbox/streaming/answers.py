@@ -112,11 +112,19 @@ def _cleaned(pdf: pd.DataFrame) -> pd.DataFrame:
     return done[done["content"] != ""]
 
 
-def clean_stream(frames: DataFrame) -> DataFrame:
-    """The same over a stream of (stream_id, seq, content, done)."""
+def clean_stream(frames: DataFrame, abandoned_ms: int | None = None) -> DataFrame:
+    """The same over a stream of (stream_id, seq, content, done); where ``abandoned_ms`` is given, a stream
+    without a fragment for so long (by the clock) is given up, and what was held back of it is judged as if it had ended.
+    A query that runs until its input is used up never ends with such a clock, so it takes none."""
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = State(*state.get) if state.exists else State()
+        if state.hasTimedOut:
+            *machine, seq = state.get
+            rest = feed(State(*machine), "", True)
+            state.remove()
+            yield pd.DataFrame([(key[0], seq + 1, rest)] if rest else [], columns=["stream_id", "seq", "content"])
+            return
+        s = State(*state.get[:-1]) if state.exists else State()
         rows, done = [], False
         for pdf in batches:
             rows.append(pdf)
@@ -129,11 +137,13 @@ def clean_stream(frames: DataFrame) -> DataFrame:
         if done:
             state.remove()
         else:
-            state.update((s.thinking, s.started, s.leaked, s.pending, s.head))
+            state.update((s.thinking, s.started, s.leaked, s.pending, s.head, int(pdf["seq"].max())))
+            if abandoned_ms:
+                state.setTimeoutDuration(abandoned_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "content"])
 
     return frames.groupBy("stream_id").applyInPandasWithState(
-        run, _OUT, "thinking boolean, started boolean, leaked boolean, pending string, head string", "append", GroupStateTimeout.NoTimeout
+        run, _OUT, "thinking boolean, started boolean, leaked boolean, pending string, head string, seq bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if abandoned_ms else GroupStateTimeout.NoTimeout
     )
 
 

@@ -39,12 +39,18 @@ def _decide(times: list[int], last: list[int], limit: int, period: int) -> tuple
 def limit_batch(events: DataFrame, key: str, ms: str, limit: int = LIMIT, period: int = PERIOD_MS) -> DataFrame:
     """(key, ms, ok) of a batch.
 
-    A key's events are cut where nothing happened for a period, which is exact, so a busy key is many parts. Parts are
-    spread by hash, sorted within their tasks and decided as they stream by, remembering at most ``limit`` times.
+    A key's events are cut where nothing happened for a period, which is exact, so a busy key is many parts. Quiet gaps
+    lie only between periods of the clock, so these are counted first, with their first and last event: the window that
+    numbers the parts sees a row per key and period, never a key's events. Parts are spread by hash, sorted within their
+    tasks and decided as they stream by, remembering at most ``limit`` times.
     """
-    w = Window.partitionBy(key).orderBy(ms)
-    gap = F.coalesce(F.col(ms) - F.lag(ms).over(w), F.lit(period)) >= period
-    parts = events.select(key, ms).withColumn("__part", F.sum(F.when(gap, 1).otherwise(0)).over(w))
+    clock = F.floor(F.col(ms) / F.lit(period)).alias("__clock")
+    rows = events.select(key, ms, clock)
+    w = Window.partitionBy(key).orderBy("__clock")
+    seen = rows.groupBy(key, "__clock").agg(F.min(ms).alias("__from"), F.max(ms).alias("__to"))
+    gap = F.coalesce(F.col("__from") - F.lag("__to").over(w), F.lit(period)) >= period
+    numbered = seen.select(F.col(key).alias("__key"), F.col("__clock").alias("__at"), F.sum(F.when(gap, 1).otherwise(0)).over(w).alias("__part"))
+    parts = rows.join(numbered, F.col(key).eqNullSafe(F.col("__key")) & F.col("__clock").eqNullSafe(F.col("__at"))).select(key, ms, "__part")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, last = None, []

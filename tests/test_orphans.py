@@ -37,3 +37,9 @@ def test_cycle_ends(spark):
     n = spark.createDataFrame([(1, 2, "m"), (2, 1, "m"), (3, 9, "m"), (4, 3, "m"), (5, 4, "m")], "id bigint, next bigint, period string")
     got = {x.row_key: x.level for x in orphan_cascade({"n": Relation("n", n, "id", "period")}, [Edge("n", "next", "n", "id")]).collect()}
     assert got == {"3": 0, "4": 1, "5": 2}
+
+
+def test_long_chain(spark):
+    n = spark.createDataFrame([(i, i - 1, "m") for i in range(1, 9)], "id bigint, next bigint, period string")
+    got = {x.row_key: x.level for x in orphan_cascade({"n": Relation("n", n, "id", "period")}, [Edge("n", "next", "n", "id")]).collect()}
+    assert got == {str(i): i - 1 for i in range(1, 9)}

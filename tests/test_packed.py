@@ -16,6 +16,12 @@ CASES = [
     ("AC/DC / Q&A", ["AC/DC", "Q&A"]),
     ("A;a;A", ["A", "a", "A"]),
     ("x、y，z • w · v", ["x", "y", "z", "w", "v"]),
+    ("1234567890123,5 mm, x", ["1234567890123,5 mm", "x"]),
+    ("1,2,3", ["1,2,3"]),
+    (";" + " " * 90 + '"p, q"; r', ["p, q", "r"]),
+    (" " * 90 + '"p, q"', ["p, q"]),
+    ("a\ue000b, \uf8ff;\ue001\ue000\ue002", ["a\ue000b", "\uf8ff", "\ue001\ue000\ue002"]),
+    ("\"it''s\", 'so \"\"x'' y'", ["it''s", "so \"\"x' y"]),
     ("", []),
     ("  ;, ", []),
     (None, []),
