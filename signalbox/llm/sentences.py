@@ -239,7 +239,7 @@ class Segmenter:
     def _word_start(self, i: int, begin: int) -> int:
         """Where the run of letters, digits and joining marks before ``i`` begins; runs with many stops are walked once."""
         t, j = self.text, i
-        while j > begin and _PART.match(t[j - 1]):
+        while j > begin and ((c := t[j - 1]).isalnum() or c in ".’'-" or not c.isascii() and _PART.match(c)):
             j -= 1
             if j == self.last_word[0]:
                 j = max(begin, self.last_word[1])
@@ -326,14 +326,17 @@ _STOPPED = r"(?<![\p{L}\p{M}\p{N}.’'ªº-])([\p{L}\p{M}\p{N}.’'ªº-]*+(?<=[
 _OPENING = r"(?:\A|\n[^\S\n]*\n)\s*([\p{Lu}][\p{L}\p{M}]*)"
 
 
-def _stopped(text: Column) -> Column:
-    """(word, kind, next) of each word before a stop, as ``_key`` has it: the stop ends a paragraph, comes before lower
-    case, or before another sign or word, the ``next`` one."""
-    found = F.regexp_extract_all(text, F.lit(_STOPPED), 1)
-    word = lambda m: F.regexp_replace(F.lower(F.regexp_extract(m, r"^(.*?)\.(?:\s|$)", 1)), r"^.*['’](?=.)|^[-'’]+|[-'’]+$", "")
-    tail = F.transform(found, lambda m: F.struct(m.alias("m"), F.regexp_extract(m, r"\.((?:\s.*)?)$", 1).alias("tail")))
-    kind = lambda t: F.when(t.rlike(r"^\s*$|\n[^\S\n]*\n"), "end").when(t.rlike(r"^\s+\p{Ll}"), "low").otherwise("other")
-    return F.transform(tail, lambda x: F.struct(word(x["m"]).alias("word"), kind(x["tail"]).alias("kind"), F.when(kind(x["tail"]) == "other", F.trim(F.regexp_replace(x["tail"], r"\s+", " "))).alias("next")))
+def _stopped(rows: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """(keys, word, kind, next) of each word before a stop in a text, as ``_key`` has it, once: the stop ends a paragraph,
+    comes before lower case, or before another sign or word, the ``next`` one."""
+    found = rows.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(_STOPPED), 1))).alias("m"))
+    # The raw matches are taken apart after the explosion, where expressions are compiled and shared.
+    cut_ = found.select(*keys, "m", F.lower(F.regexp_extract("m", r"^(.*?)\.(?:\s|$)", 1)).alias("w"), F.regexp_extract("m", r"\.\s+(\S+)$", 1).alias("next"))
+    bare = F.when(F.col("w").rlike(r"['’-]"), F.regexp_replace("w", r"^.*['’](?=.)|^[-'’]+|[-'’]+$", "")).otherwise(F.col("w"))
+    blank = F.contains("m", F.lit("\n")) & F.col("m").rlike(r"\n[^\S\n]*\n")
+    kind = F.when((F.col("next") == "") | blank, "end").when(F.col("next").rlike(r"^\p{Ll}"), "low").otherwise("other")
+    out = cut_.select(*keys, bare.alias("word"), kind.alias("kind"), "next")
+    return out.select(*keys, "word", "kind", F.when(F.col("kind") == "other", F.col("next")).alias("next"))
 
 
 def corpus_evidence(df: DataFrame, text_col: str) -> DataFrame:
@@ -342,11 +345,12 @@ def corpus_evidence(df: DataFrame, text_col: str) -> DataFrame:
     A text counts once for a word and what follows it, and the copies of a text count as one together. A stop before a
     word that opens paragraphs about as often as it follows stops ends a sentence as well.
     """
-    opening = F.transform(F.regexp_extract_all(F.col(text_col), F.lit(_OPENING), 1), lambda w: F.struct(F.lit("").alias("word"), F.lit("open").alias("kind"), w.alias("next")))
     key = F.xxhash64(text_col)
     again = cut(df.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"))
-    seen = df.select(key.alias("key"), F.array_distinct(F.concat(_stopped(F.col(text_col)), opening)).alias("x"))
-    seen = seen.join(bounded_broadcast(again, again.count(), BROADCAST_WORDS), "key", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), F.inline("x"))
+    texts = df.select(key.alias("key"), F.col(text_col).alias("text"))
+    weighed = texts.join(bounded_broadcast(again, again.count(), BROADCAST_WORDS), "key", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), "text")
+    opening = weighed.select("weight", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_OPENING), 1))).alias("next"))
+    seen = _stopped(weighed, "text", "weight").unionAll(opening.select("weight", F.lit("").alias("word"), F.lit("open").alias("kind"), "next"))
     counted = cut(seen.groupBy("word", "kind", "next").agg(F.sum("weight").alias("n")))
     total = {r.kind: r.n for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     opens, stops = total.pop("open", 0.0), sum(total.values())
@@ -378,7 +382,7 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows = spread(rows)
     else:  # each text takes along what is known of its own words
         keyed = rows.withColumn("key", F.xxhash64("text"))
-        own = keyed.select("key", F.explode(F.array_distinct(F.transform(_stopped(F.col("text")), lambda x: x["word"]))).alias("word")).distinct()
+        own = _stopped(keyed, "text", "key").select("key", "word").distinct()
         own = own.join(evidence, "word").groupBy("key").agg(F.collect_list(F.struct("word", "verdict")).alias("evidence"))
         rows = keyed.join(own, "key", "left").select("id", "text", "evidence")
 
