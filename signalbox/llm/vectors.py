@@ -47,6 +47,8 @@ PROBES = 8
 _SEED = 20_240
 #: Ids (8 bytes) of candidates that may be broadcast.
 BROADCAST_IDS = 2_000_000
+#: Vectors that several rows share (256 bytes each at 64 dimensions) that may be broadcast.
+BROADCAST_VECTORS = 100_000
 #: Cells (some 20 bytes each) whose numbers of blocks may be broadcast.
 BROADCAST_CELLS = 500_000
 
@@ -289,7 +291,7 @@ def prepare(df: DataFrame, id_col: str, vec_col: str, length_col: str, groups: l
     reps = rows.groupBy("grp", "vec").agg(F.min("id").alias("id"), F.max("id").alias("__last"))
     reps = cut(reps.select("grp", "id", "vec", (F.col("id") != F.col("__last")).alias("__shared")))
     shared = reps.where("__shared").select("grp", "vec", F.col("id").alias("rep"))
-    members = rows.join(shared, ["grp", "vec"]).select("rep", "id").distinct()
+    members = cut(rows.join(bounded_broadcast(shared, shared.count(), BROADCAST_VECTORS), ["grp", "vec"]).select("rep", "id").distinct())
     return reps.select("grp", "id", "vec"), members
 
 
