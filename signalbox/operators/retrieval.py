@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalbox.functions.text import is_readable, metadata_text, terms
 from signalbox.operators import fts, vectors
+from signalbox.session import cut
 
 
 @dataclass(frozen=True)
@@ -59,18 +60,30 @@ def candidates(questions: DataFrame, chunks: DataFrame, docs: DataFrame, config:
     """(query, id, source, score): fused, at most ``per_document`` chunks of a source, twice ``top_k`` in all.
 
     Three score lists are united and summed by id: one shuffle, no outer joins. Metadata reaches chunks by two equi-joins,
-    by source and by document id, whose larger score counts. A chunk without a vector has no vector score, and no other loss.
+    by source and by document id, whose larger score counts. A chunk without a vector has no vector score, and no other
+    loss; a vector is compared with those of its ``grp`` (its model) where the chunks have that column.
+
+    Of the vector scores only those that can matter leave their block: the best under the cap by vector alone, and those
+    of chunks that words or metadata found. That is exact: whatever else ranks below the best does so in the sum as well.
     """
     asked = question_terms(questions)
     ids = chunks.select("id", "source", "document_id")
-    vec = vectors.score_queries(questions.select("query", vectors.unit(F.col("vector")).alias("qv")), chunks.select("id", vectors.unit(F.col("embedding")).alias("v")).where("v IS NOT NULL"), least=config.min_score)
-    vec = vec.where(F.col("score") >= config.min_score).select("query", "id", (vectors.scaled(F.col("score"), config.min_score) * config.vector_weight).alias("score"))
+    grp = ["grp"] if "grp" in chunks.columns and "grp" in questions.columns else []
+    qs = questions.select("query", *grp, vectors.unit(F.col("vector")).alias("qv"))
+    vs = chunks.select("id", "source", *grp, vectors.unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
+    near = vectors.score_queries(qs, vs, least=config.min_score, best=config.top_k * 2, cap=("source", config.per_document))
     key = keyword_scores(asked, chunks, config.pool).select("query", "id", (F.col("score") * config.keyword_weight).alias("score"))
     meta = metadata_scores(asked, docs, config.pool, config.metadata_weight)
     by_source = meta.join(ids, meta.filename == ids.source).select("query", "id", "score")
     by_id = meta.join(ids, "document_id").select("query", "id", "score")
     lifted = by_source.unionAll(by_id).groupBy("query", "id").agg((F.max("score") * config.metadata_boost).alias("score"))
-    fused = vec.unionAll(key).unionAll(lifted).groupBy("query", "id").agg(F.round(F.sum("score"), 6).alias("score"))
+    found = cut(key.unionAll(lifted).groupBy("query", "id").agg(F.sum("score").alias("words")))
+    same = [F.col("grp").eqNullSafe(F.col("q_grp"))] if grp else []
+    asked_vectors = qs.select(F.col("query").alias("q"), "qv", *[F.col("grp").alias("q_grp") for _ in grp])
+    exact = found.select("query", "id").join(vs, "id").join(asked_vectors, [F.col("query") == F.col("q"), *same]).select("query", "id", vectors.dot(F.col("qv"), F.col("v")).alias("score"))
+    vec = near.unionAll(exact).where(F.col("score") >= config.min_score).groupBy("query", "id").agg(F.max("score").alias("score"))
+    vec = vec.select("query", "id", (vectors.scaled(F.col("score"), config.min_score) * config.vector_weight).alias("score"))
+    fused = vec.unionAll(found.select("query", "id", "words")).groupBy("query", "id").agg(F.round(F.sum("score"), 6).alias("score"))
     scored = fused.join(chunks.select("id", "source"), "id")
     return vectors.top_k(scored, config.top_k * 2, cap=("source", config.per_document)).select("query", "id", "source", "score")
 

@@ -35,19 +35,23 @@ def scaled(score: Column, least: float) -> Column:
 BLOCK = 4_096
 
 
-def score_queries(queries: DataFrame, vectors: DataFrame, least: float | None = None) -> DataFrame:
-    """(query, id, score) of each query against every vector, of those with a score from ``least`` on: (query, qv) x (id, v).
+def score_queries(queries: DataFrame, vectors: DataFrame, least: float | None = None, best: int | None = None, cap: tuple[str, int] | None = None) -> DataFrame:
+    """(query, id, score) of each query against every vector of its group: (query, qv, grp) x (id, v, grp); ``grp`` may be
+    left out. Of those with a score from ``least`` on, or what ``top_k`` needs to find the ``best`` of each query under
+    the ``cap``: as many leave each block (and those that tie with them to six places, beside the query itself).
 
-    A stated query set meets all rows in blocks of bounded size, one matrix product each, accumulated in doubles; pairs
-    under ``least`` never leave their block. Lengths may differ: products go over the shorter one. Null vectors score
-    nowhere.
+    A stated query set meets all rows in blocks of bounded size, one matrix product each, accumulated in doubles; other
+    pairs never leave their block. Lengths may differ: products go over the shorter one. Null vectors score nowhere.
     """
     q, v = queries.where(F.col("qv").isNotNull()), vectors.where(F.col("v").isNotNull())
     nq, nv = max(1, -(-q.count() // BLOCK)), max(1, -(-v.count() // BLOCK))
     kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = v.select(F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"), span(nq).alias("c"), "id", F.col("v").cast("array<double>").alias("v"))
-    right = q.select(span(nv).alias("q_b"), F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("q_c"), "query", F.col("qv").cast("array<double>").alias("qv"))
+    group = lambda df: F.col("grp") if "grp" in df.columns else F.lit(0)
+    own = F.xxhash64(cap[0]) if cap else F.lit(0).cast("bigint")
+    left = v.select(group(v).alias("g"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"), span(nq).alias("c"), "id", own.alias("own"), F.col("v").cast("array<double>").alias("v"))
+    right = q.select(group(q).alias("q_g"), span(nv).alias("q_b"), F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("q_c"), "query", F.col("qv").cast("array<double>").alias("qv"))
+    limit = cap[1] if cap else None
 
     def matrix(rows: pd.Series, width: int) -> np.ndarray:
         out = np.zeros((len(rows), width))
@@ -55,22 +59,57 @@ def score_queries(queries: DataFrame, vectors: DataFrame, least: float | None =
             out[i, : len(x)] = x
         return out
 
+    def chosen(row: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Columns of one query that can be among its best: the query itself and ties need room."""
+        order = np.argsort(-row, kind="stable")
+        order = order[row[order] > -np.inf]
+        if limit is not None:  # the place of each within its own kind, best first
+            kind = own[order]
+            by = np.argsort(kind, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(kind[by]) != 0]) if len(by) else by
+            sizes = np.diff(np.r_[first, len(by)])
+            floor = np.repeat(row[order[by[np.minimum(first + limit, first + sizes - 1)]]], sizes)
+            keep = np.zeros(len(order), bool)
+            keep[by] = row[order[by]] >= floor - 2e-6
+            order = order[keep]
+        if len(order) <= best:
+            return order
+        return order[row[order] >= row[order[best]] - 2e-6] if limit is None else order[: _reach(order, row, own, best, limit)]
+
     def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
             return pd.DataFrame({"query": q["query"].iloc[:0], "id": v["id"].iloc[:0], "score": np.zeros(0)})
         width = max(v["v"].map(len).max(), q["qv"].map(len).max())
-        m, out = matrix(v["v"], width), []
+        m, kind, out = matrix(v["v"], width), v["own"].to_numpy(), []
         for at in range(0, len(q), 256):
             part = q.iloc[at : at + 256]
             s = matrix(part["qv"], width) @ m.T
-            i, j = np.nonzero(s >= least) if least is not None else np.nonzero(np.ones_like(s, bool))
+            if best is not None:
+                s = np.where(s >= least, s, -np.inf) if least is not None else s
+                picked = [chosen(row, kind) for row in s]
+                i, j = np.repeat(np.arange(len(picked)), [len(x) for x in picked]), np.concatenate(picked)
+            else:
+                i, j = np.nonzero(s >= least) if least is not None else np.nonzero(np.ones_like(s, bool))
             out.append(pd.DataFrame({"query": part["query"].to_numpy()[i], "id": v["id"].to_numpy()[j], "score": s[i, j]}))
         return pd.concat(out)
 
-    grouped = left.groupBy("b", "c").cogroup(right.groupBy("q_b", "q_c"))
+    grouped = left.groupBy("g", "b", "c").cogroup(right.groupBy("q_g", "q_b", "q_c"))
     return grouped.applyInPandas(meet, f"query {kinds['query']}, id {kinds['id']}, score double")
 
 
+def _reach(order: np.ndarray, row: np.ndarray, own: np.ndarray, best: int, limit: int) -> int:
+    """How many of ``order`` it takes until ``best`` under the cap, and one more, and their ties are among them."""
+    taken: dict[int, int] = {}
+    total = 0
+    for n, j in enumerate(order):
+        if taken.get(own[j], 0) < limit:
+            taken[own[j]] = taken.get(own[j], 0) + 1
+            total += 1
+            if total > best:
+                return int(np.searchsorted(-row[order], -(row[j] - 2e-6), side="right"))
+    return len(order)
+
+
 def top_k(scores: DataFrame, k: int, cap: tuple[str, int] | None = None) -> DataFrame:
     """The k best of each query; with ``cap`` = (column, n), at most n of each value of the column, best first."""
     order = [F.desc("score"), F.col("id")]
