@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 FLAGSHIP = "hybrid_retrieve"
-_AREAS = ("problems", "usage", "texts", "search", "library", "dialogue", "streams")
+_AREAS = ("problems", "usage", "texts", "search", "library", "dialogue", "streams", "records")
 
 
 def modules() -> list[ModuleType]:
