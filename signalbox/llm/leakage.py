@@ -31,6 +31,8 @@ from signalbox.session import cut
 SPAN, K = 12, 6
 #: Fingerprints (8 bytes and an id) of the test side that may be broadcast; documents beside whose ids may be.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of the texts of items that met a document that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 _REMEMBER = 1_000_000
 
 words_of = regex.compile(r"[\p{L}\p{N}]+").findall
@@ -127,27 +129,40 @@ def leaks(
     else:
         met = doc_fps.join(test_fps, "fp").select("doc_id", "item_id")
     met = cut(met.distinct())
-    # Only documents that met an item are read again, and extended against it.
-    ids = met.select("doc_id").distinct()
-    suspects = corpus.join(bounded_broadcast(ids, met.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-    pairs = met.join(bounded_broadcast(tests, test_rows, BROADCAST_ROWS), "item_id").join(suspects, "doc_id")
+    # Only documents that met an item are read again, each once with all its items, and extended against them. Only the
+    # items that met a document are needed; their texts are broadcast by their counted bytes.
+    held = cut(met.groupBy("doc_id").agg(F.collect_list("item_id").alias("held")))  # no more than there are items
+    suspects = corpus.join(bounded_broadcast(held, held.count(), BROADCAST_ROWS), "doc_id")
+    needed = cut(tests.join(met.select("item_id").distinct(), "item_id", "left_semi").distinct())
+    size = needed.agg(F.count("*").alias("n"), F.sum(F.octet_length("item_text")).alias("bytes")).first()
+    within = max(size.n * 64, size.bytes or 0) <= BROADCAST_BYTES
+    if within:
+        texts: dict[object, list[str]] = {}
+        for r in needed.collect():
+            texts.setdefault(r.item_id, []).append(r.item_text)
+        shared = docs.sparkSession.sparkContext.broadcast(texts)
+        pairs = suspects.select("doc_id", "doc_text", "held")
+    else:
+        pairs = suspects.select("doc_id", "doc_text", F.explode("held").alias("item_id")).join(needed, "item_id").select("doc_id", "doc_text", F.array("item_id").alias("held"), "item_text")
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split: dict[str, list[str]] = {}
         for pdf in frames:
-            last, doc, found = None, [], []
-            for text, item in zip(pdf["doc_text"], pdf["item_text"], strict=True):
+            rows, last, doc = [], None, []
+            for at, (doc_id, text, items_) in enumerate(zip(pdf["doc_id"], pdf["doc_text"], pdf["held"], strict=True)):
                 if text is not last:
                     last, doc = text, words_of(text.casefold())
-                if item not in split:
-                    if len(split) > 10_000:
-                        split.clear()
-                    split[item] = words_of(item.casefold())
-                found.append(longest_shared(doc, split[item], k))
-            yield pdf[["doc_id", "item_id"]].assign(words=np.array(found, np.int32))
+                for item_id in items_:
+                    for item in shared.value[item_id] if within else (pdf["item_text"].iloc[at],):
+                        if item not in split:
+                            if len(split) > 10_000:
+                                split.clear()
+                            split[item] = words_of(item.casefold())
+                        rows.append((doc_id, item_id, longest_shared(doc, split[item], k)))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words"]).astype({"words": np.int32})
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema}
-    runs = pairs.select("doc_id", "item_id", "doc_text", "item_text").mapInPandas(
+    runs = pairs.mapInPandas(
         extend, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, words int"
     )
     return runs.where(F.col("words") >= span).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

@@ -46,5 +46,13 @@ def test_nulls_repeats_long_and_empty(spark):
 
 def test_shuffled_when_the_test_side_is_large(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
     item = " ".join(f"a{i}" for i in range(14))
     assert run(spark, [(1, "x " + item, "x"), (2, "other", "x")], [(7, item, "x")]) == {(1, 7)}
+
+
+def test_common_passage_of_many_items(spark):
+    shared = " ".join(f"a{i}" for i in range(13))
+    items = [(j, f"{shared} own{j} " + " ".join(f"i{j}x{n}" for n in range(14)), "x") for j in range(30)]
+    docs = [(1, "z " + shared + " y", "x"), (2, " ".join(f"a{i}" for i in range(7)) + " y", "x"), (3, items[4][1], "x")]
+    assert run(spark, docs, items) == {(1, j) for j in range(30)} | {(3, j) for j in range(30)}
