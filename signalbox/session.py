@@ -53,11 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    name = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return name
+    """A new path in the shared folder, for a table that is to be written; removed when the session's JVM ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)  # only what exists can be marked
+    system.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def cut(df: DataFrame) -> DataFrame:
