@@ -24,7 +24,6 @@ Defined results
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalbox.session import cut, shared_dir
+from signalbox.session import cut, scratch
 
 #: Bits of a segment (8 KiB) and probes per hash, all inside one segment.
 SEGMENT_BITS = 1 << 16
@@ -175,7 +174,7 @@ def _by_range(hashed: DataFrame, ranges: int) -> list[DataFrame]:
     """The rows of each range of hashes; more than one are written once, without a shuffle."""
     if ranges == 1:
         return [hashed]
-    path = f"{shared_dir(hashed.sparkSession)}/collapse-{uuid.uuid4().hex}"
+    path = scratch(hashed.sparkSession, "collapse")
     hashed.withColumn("__range", F.pmod(F.shiftright("__h", 48), F.lit(ranges)).cast("int")).write.partitionBy("__range").parquet(path)
     written = hashed.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in hashed.dtypes)}, __range int").parquet(path)
     return [written.where(F.col("__range") == r).drop("__range") for r in range(ranges)]
