@@ -129,7 +129,7 @@ def test_context_decides(spark, monkeypatch):
 
 
 def test_mail_address(spark):
-    got = found(spark, [(1, "a", 1, 0, "The guard of the train is in the coach, write to va|ve@yard50 and to brake@yard6.", "x")])
+    got = found(spark, [(1, "a", 1, 0, sentence(3) + " The guard of the train is at va|ve@yard50 and the coach is in the yard. " + sentence(4), "x")])
     assert got == {1: {"chars"}}
 
 
