@@ -1,8 +1,12 @@
+import math
+import random
 import sqlite3
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from signalbox.operators import fts, retrieval, rulebooks, vectors
+from signalbox.operators import fts, ranking, retrieval, rulebooks, vectors
 
 DOCS = ["the brake valve was tested and the brake held", "oil pump and valve", "été à la gare, valve", "nothing here", "", "pump pump pump oil"]
 
@@ -24,6 +28,45 @@ def test_bm25_equals_sqlite(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_best_hits_equal_all_scores(spark):
+    df, rows, lens = index(spark, [*DOCS, *DOCS, "Pumps and valves", None])
+    q = spark.createDataFrame([(1, "pump"), (1, "valve"), (1, "valve"), (2, "valve"), (2, "valve"), (2, "pump"), (3, "gare"), (4, "none"), (None, "oil")], "query int, term string")
+    want = fts.top_hits(fts.bm25(q.where("query IS NOT NULL"), fts.postings(rows), lens, weight=2.0).withColumn("score", F.round("score", 6)), 3)
+    got = ranking.best_hits(q, df, "id", "t", 3, weight=2.0)
+    order = ["query", "doc", "rank", "score"]
+    assert sorted(map(tuple, got.select(order).collect())) == sorted(map(tuple, want.select(order).collect())) and got.count() == 8
+    stems = ranking.best_hits(q.where("query = 3").withColumn("term", F.lit("valves")), df, "id", "t", 9, stem=True)
+    assert {r.doc for r in stems.collect()} == {0, 1, 2, 6, 7, 8, 12}
+
+
+def test_best_hits_of_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(1, "oil pump"), (1, "valve"), (2, "pump pump"), (None, "oil"), (3, None)], "id bigint, t string")
+    q = spark.createDataFrame([(7, "pump"), (7, "oil")], "query int, term string")
+    got = {r.doc: r.score for r in ranking.best_hits(q, df, "id", "t", 5).collect()}
+    part = lambda tf, n, df: max(math.log((5 - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 1.2))
+    want = {1: sum(part(1, n, 2) * 2 for n in (2, 1)), 2: part(2, 2, 2)}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def test_a_large_block_leaves_nothing_out():
+    rng, n, terms = random.Random(3), 20_000, 60
+    held = [{t: rng.choice((1, 1, 2, 5)) for t in range(terms) if rng.random() < 0.5 / (t + 1) + 0.001} for _ in range(n)]
+    lens = [sum(h.values()) + rng.randrange(9) for h in held]
+    df = np.array([sum(t in h for h in held) for t in range(terms)])
+    idf, mean = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6), sum(lens) / n
+    docs = pa.table({"doc": list(range(n)), "lens": [[x] for x in lens], "codes": pa.array([[t for t in h for _ in range(h[t])] for h in held], pa.list_(pa.int32()))})
+    asked = [sorted(rng.choices(range(terms), k=rng.randint(1, 6))) for _ in range(40)]
+    got = ranking._meet(docs, pa.table({"set": list(range(40)), "codes": pa.array(asked, pa.list_(pa.int32()))}), idf, mean, 1.0, 5)
+    got = {r["set"]: [(h["worse"], h["doc"]) for h in r["hits"]] for r in got.to_pylist()}
+    for i, codes in enumerate(asked):
+        every = []
+        for d, h in enumerate(held):
+            s = sum(idf[t] * h[t] * 2.2 / (h[t] + 1.2 * (0.25 + 0.75 * lens[d] / mean)) for t in codes if t in h)
+            if s:
+                every.append((-math.floor(s * 1e6 + 0.5), d))
+        assert got.get(i, []) == sorted(every)[:5]
+
+
 def test_every_term_stems_phrases_and_snippets(spark):
     df, rows, lens = index(spark)
     q = spark.createDataFrame([(1, "pump"), (1, "oil")], "query int, term string")
