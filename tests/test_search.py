@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from signalbox.operators import fts, ranking, retrieval, rulebooks, vectors
+from signalbox.plans import search
 
 DOCS = ["the brake valve was tested and the brake held", "oil pump and valve", "été à la gare, valve", "nothing here", "", "pump pump pump oil"]
 
@@ -67,6 +68,18 @@ def test_a_large_block_leaves_nothing_out():
         assert got.get(i, []) == sorted(every)[:5]
 
 
+def library(spark, path):
+    words = [f"w{chr(97 + i)}" for i in range(14)]
+    spark.createDataFrame([(1, "which valve"), (50, "pumps"), (7, " ".join(words))], "id bigint, question string").write.parquet(f"{path}/usage_questions.parquet")
+    spark.createDataFrame([(3, "valve of the pump"), (4, "nothing"), (5, words[13])], "id bigint, content string").write.parquet(f"{path}/rag_chunks.parquet")
+    spark.createDataFrame([(8, "V 1", "valve", ""), (9, "", "Oil", ", ".join([f"x{i}y" for i in range(12)] + ["pumps"]))], "doc_id bigint, document_number string, caption string, keywords string").write.parquet(f"{path}/documents.parquet")
+
+
+def test_every_question_is_asked_with_all_its_terms(spark, tmp_path):
+    library(spark, tmp_path)
+    assert {(r.query, r.id) for r in search.bm25_or_topn(spark, str(tmp_path)).collect()} == {(1, 3), (7, 5)}
+
+
 def test_every_term_stems_phrases_and_snippets(spark):
     df, rows, lens = index(spark)
     q = spark.createDataFrame([(1, "pump"), (1, "oil")], "query int, term string")
