@@ -78,6 +78,7 @@ def library(spark, path):
 def test_every_question_is_asked_with_all_its_terms(spark, tmp_path):
     library(spark, tmp_path)
     assert {(r.query, r.id) for r in search.bm25_or_topn(spark, str(tmp_path)).collect()} == {(1, 3), (7, 5)}
+    assert {(r.query, r.id) for r in search.bm25_porter(spark, str(tmp_path)).collect()} == {(1, 3), (50, 3), (7, 5)}
     assert {(r.query, r.id) for r in search.bm25_weighted8(spark, str(tmp_path)).collect()} == {(1, 8), (50, 9)}
 
 
