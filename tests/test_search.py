@@ -82,6 +82,15 @@ def test_every_question_is_asked_with_all_its_terms(spark, tmp_path):
     assert {(r.query, r.id) for r in search.bm25_weighted8(spark, str(tmp_path)).collect()} == {(1, 8), (50, 9)}
 
 
+def test_the_best_of_a_long_row_are_those_of_all_scores(spark):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, int(i % 97 if i > 400 else 1), [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(1500)], "id int, kind int, v array<double>")
+    q = v.where("id < 6").select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    for cap in (None, ("kind", 2)):
+        best = lambda s: sorted(map(tuple, vectors.top_k(s.withColumn("score", F.round("score", 6)).join(v.select("id", "kind"), "id"), 5, cap=cap).select("query", "id", "score").collect()))  # noqa: B023, E731
+        assert best(vectors.score_queries(q, v, best=5, cap=cap)) == best(vectors.score_queries(q, v))
+
+
 def test_every_term_stems_phrases_and_snippets(spark):
     df, rows, lens = index(spark)
     q = spark.createDataFrame([(1, "pump"), (1, "oil")], "query int, term string")
